@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from tessella.llm.sharding import op4_feistel_sharding
+from tessella.llm.warc import OP10_SQL, op10_warc_round_trip
 
 QUERIES = {
     "op4_feistel_sharding": op4_feistel_sharding,
+    "op10_warc_round_trip": op10_warc_round_trip,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_warc_round_trip": OP10_SQL,
+}

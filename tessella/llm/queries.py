@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from tessella.llm.neighbours import OP9_SQL, op9_nearest_vectors
 from tessella.llm.sharding import op4_feistel_sharding
 from tessella.llm.warc import OP10_SQL, op10_warc_round_trip
 
 QUERIES = {
     "op4_feistel_sharding": op4_feistel_sharding,
+    "op9_nearest_vectors": op9_nearest_vectors,
     "op10_warc_round_trip": op10_warc_round_trip,
 }
 
 ORACLES: dict[str, str] = {
+    "op9_nearest_vectors": OP9_SQL,
     "op10_warc_round_trip": OP10_SQL,
 }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from tessella.llm.mixing import op2_mix_to_weights
 from tessella.llm.neighbours import OP9_SQL, op9_nearest_vectors
 from tessella.llm.sharding import op4_feistel_sharding
 from tessella.llm.warc import OP10_SQL, op10_warc_round_trip
 
 QUERIES = {
+    "op2_mix_to_weights": op2_mix_to_weights,
     "op4_feistel_sharding": op4_feistel_sharding,
     "op9_nearest_vectors": op9_nearest_vectors,
     "op10_warc_round_trip": op10_warc_round_trip,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessella.llm.fingerprints import op3_order_minhash
 from tessella.llm.mixing import op2_mix_to_weights
 from tessella.llm.near_join import op7_ngram_jaccard_join
 from tessella.llm.neighbours import OP9_SQL, op9_nearest_vectors
@@ -10,6 +11,7 @@ from tessella.llm.warc import OP10_SQL, op10_warc_round_trip
 
 QUERIES = {
     "op2_mix_to_weights": op2_mix_to_weights,
+    "op3_order_minhash": op3_order_minhash,
     "op4_feistel_sharding": op4_feistel_sharding,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_nearest_vectors": op9_nearest_vectors,

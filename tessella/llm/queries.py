@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessella.llm.fingerprints import op3_order_minhash
+from tessella.llm.line_dedup import op6_fuzzy_line_dedup
 from tessella.llm.mixing import op2_mix_to_weights
 from tessella.llm.near_join import op7_ngram_jaccard_join
 from tessella.llm.neighbours import OP9_SQL, op9_nearest_vectors
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_mix_to_weights": op2_mix_to_weights,
     "op3_order_minhash": op3_order_minhash,
     "op4_feistel_sharding": op4_feistel_sharding,
+    "op6_fuzzy_line_dedup": op6_fuzzy_line_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_nearest_vectors": op9_nearest_vectors,
     "op10_warc_round_trip": op10_warc_round_trip,

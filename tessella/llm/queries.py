@@ -8,6 +8,7 @@ from tessella.llm.mixing import op2_mix_to_weights
 from tessella.llm.near_join import op7_ngram_jaccard_join
 from tessella.llm.neighbours import OP9_SQL, op9_nearest_vectors
 from tessella.llm.sharding import op4_feistel_sharding
+from tessella.llm.toxicity import op8_toxicity
 from tessella.llm.warc import OP10_SQL, op10_warc_round_trip
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_feistel_sharding": op4_feistel_sharding,
     "op6_fuzzy_line_dedup": op6_fuzzy_line_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_toxicity": op8_toxicity,
     "op9_nearest_vectors": op9_nearest_vectors,
     "op10_warc_round_trip": op10_warc_round_trip,
 }

@@ -7,11 +7,13 @@ from tessella.llm.line_dedup import op6_fuzzy_line_dedup
 from tessella.llm.mixing import op2_mix_to_weights
 from tessella.llm.near_join import op7_ngram_jaccard_join
 from tessella.llm.neighbours import OP9_SQL, op9_nearest_vectors
+from tessella.llm.pieces import op1_sentencepiece
 from tessella.llm.sharding import op4_feistel_sharding
 from tessella.llm.toxicity import op8_toxicity
 from tessella.llm.warc import OP10_SQL, op10_warc_round_trip
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_mix_to_weights": op2_mix_to_weights,
     "op3_order_minhash": op3_order_minhash,
     "op4_feistel_sharding": op4_feistel_sharding,

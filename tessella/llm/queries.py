@@ -8,6 +8,7 @@ from tessella.llm.mixing import op2_mix_to_weights
 from tessella.llm.near_join import op7_ngram_jaccard_join
 from tessella.llm.neighbours import OP9_SQL, op9_nearest_vectors
 from tessella.llm.pieces import op1_sentencepiece
+from tessella.llm.quality import op5_quality_classifier
 from tessella.llm.sharding import op4_feistel_sharding
 from tessella.llm.toxicity import op8_toxicity
 from tessella.llm.warc import OP10_SQL, op10_warc_round_trip
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_mix_to_weights": op2_mix_to_weights,
     "op3_order_minhash": op3_order_minhash,
     "op4_feistel_sharding": op4_feistel_sharding,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_fuzzy_line_dedup": op6_fuzzy_line_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_toxicity": op8_toxicity,

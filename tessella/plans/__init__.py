@@ -1,5 +1,5 @@
 """Queries over the star-schema tables; importing a module registers its queries."""
 
-from tessella.plans import basic, meshes, registry
+from tessella.plans import basic, meshes, registry, solving
 
-__all__ = ["basic", "meshes", "registry"]
+__all__ = ["basic", "meshes", "registry", "solving"]

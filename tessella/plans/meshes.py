@@ -325,7 +325,16 @@ def channel_tags(spark, sf_dir):
     return mesh.channel_tags(pairs).select("gid", "nb_gid", "tag")
 
 
-@register("balanced_ranks")
+@register("balanced_ranks", """WITH RECURSIVE c AS (SELECT l_suppkey AS gid, sum(l_quantity) AS cost, row_number() OVER (ORDER BY l_suppkey DESC) AS k FROM lineitem GROUP BY 1),
+f AS (
+  SELECT 0::BIGINT AS k, NULL::BIGINT AS gid, 0.0::DOUBLE AS cost, 7 AS rank, 7 AS next_rank, sum(cost) AS rest, sum(cost) / 8 AS target, 0.0::DOUBLE AS held FROM c
+  UNION ALL
+  SELECT c.k, c.gid, c.cost, f.next_rank, CASE WHEN f.held + c.cost >= f.target AND f.next_rank > 0 THEN f.next_rank - 1 ELSE f.next_rank END,
+    CASE WHEN f.held + c.cost >= f.target AND f.next_rank > 0 THEN f.rest - f.held - c.cost ELSE f.rest END,
+    CASE WHEN f.held + c.cost >= f.target AND f.next_rank > 0 THEN (f.rest - f.held - c.cost) / f.next_rank ELSE f.target END,
+    CASE WHEN f.held + c.cost >= f.target AND f.next_rank > 0 THEN 0 ELSE f.held + c.cost END
+  FROM f JOIN c ON c.k = f.k + 1)
+SELECT gid, cost, rank FROM f WHERE k > 0""")
 def balanced_ranks(spark, sf_dir):
     cost = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("gid")).agg(F.sum("l_quantity").alias("cost"))
     return mesh.balanced(cost, 8).select("gid", "cost", "rank")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -23,3 +26,34 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **more: str)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only where neither that setting nor a checkpoint folder is set (as in tests) a temporary one is made.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = current.get() if current.isDefined() else ""
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A folder name of its own below the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
+
+    The shuffle files behind it are of no more use; Spark removes them once the driver's collector has seen that.
+    """
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df.sparkSession.read.schema(df.schema).parquet(path)

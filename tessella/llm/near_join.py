@@ -9,9 +9,10 @@ In a tile, pairs whose sizes are too far apart go; of the others, the bits in wh
 of the hashes by bucket) differ are counted: the sets differ in at least as many shingles, which bounds the
 overlap from above. What is left is checked exactly by intersecting the sorted arrays.
 
-Groups of near copies would make all their pairs. So tiles first give each row only the nearest earlier
-one that the bitmaps allow; what that links is joined into components; then the tiles give all pairs across
-components, whose links complete the components. No link between components is lost, none inside is needed.
+Groups of near copies would make all their pairs. So a first pass pairs each row of a list only with the few
+before it by size; what that links is joined into components; then the tiles of the lists that still hold more
+than one give all pairs across components, whose links complete them. No link between components is lost, none
+inside is needed.
 """
 
 from __future__ import annotations
@@ -24,16 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fresh_dir, written
+from tessella.llm.common import fresh_dir, spare, written
 from tessella.llm.components import components
 from tessella.llm.shingles import shingle_sets
 
-#: Bits of a bitmap.
+#: Least bits of a bitmap; a larger set has the next power of two above its size.
 BITS = 512
 #: Rows of a chunk: a tile holds two chunks at most.
 CHUNK = 2048
-#: Earlier rows that the first pass looks at.
-LOOK_BACK = 8
+#: Earlier rows of a list that the first pass looks at.
+LOOK_BACK = 3
+#: Shingles of a class by which the lists agree on which of them gives a pair.
+FIRSTS = 6
 #: Texts of a task that hold a shingle before it counts as frequent there; texts overall; shingles kept, the most frequent.
 #: The order of shingles is all that depends on these, never the result.
 LOCAL, FREQUENT, MOST = 3, 40, 400_000
@@ -53,7 +56,8 @@ def _node(tokens: np.ndarray) -> int:
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
-    odd = np.bincount((tokens >> _U(20)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
+    width = max(BITS, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens >> _U(20)).astype(np.int64) & (width - 1), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -145,41 +149,78 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndar
         yield [rest.column(i).to_numpy() for i in range(rest.num_columns)]
 
 
-def _tiles(t: Fraction, across: bool):
-    """Pairs of a tile that sizes and bitmaps allow: of each row the nearest earlier one, or all across components.
+def _maps(bitmaps) -> np.ndarray:
+    """Bitmaps of one width as rows of words."""
+    return np.frombuffer(b"".join(bitmaps), dtype=np.uint64).reshape(len(bitmaps), -1)
+
+
+def _folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps as they would be with fewer buckets: parities add."""
+    while maps.shape[-1] > words:
+        half = maps.shape[-1] // 2
+        maps = maps[..., :half] ^ maps[..., half:]
+    return maps
+
+
+def _enough(n_a, n_b, differ, t: Fraction):
+    """Whether sizes and differing bits leave room for the similarity: 2 * overlap <= n_a + n_b - differ."""
+    both = n_a + n_b
+    most = (both - differ) // 2
+    return t.denominator * most >= t.numerator * (both - most)
+
+
+def _pruned(t: Fraction):
+    """The pairs (a, b, n_a, n_b, map_a, map_b) that sizes and bitmaps allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b, n_a, n_b = (batch.column(i).to_numpy().astype(np.int64) for i in range(4))
+                x, y = (np.array(batch.column(i).to_pylist(), dtype=object) for i in (4, 5))
+                wide = np.array([(len(p), len(q)) for p, q in zip(x, y, strict=True)])
+                differ = np.zeros(len(a), np.int64)
+                for pair in np.unique(wide, axis=0):
+                    at = np.flatnonzero((wide == pair).all(axis=1))
+                    p, q = (_folded(_maps(m[at].tolist()), int(pair.min()) // 8) for m in (x, y))
+                    differ[at] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
+                keep = _enough(n_a, n_b, differ, t)
+                yield _batch("a long, b long", [a[keep], b[keep]])
+
+    return run
 
-    Rows come by tile, size and class: tok, one, two (the tile's chunks), n, node, chunk, head, bitmap, root.
-    """
-    num, den = t.numerator, t.denominator
 
-    def allowed(i, js, n, maps):
-        """Of rows js, all before row i: overlap bounded by sizes and differing bits is enough."""
-        differ = np.bitwise_count(maps[js] ^ maps[i]).sum(axis=1, dtype=np.int64)
-        both = n[js].astype(np.int64) + int(n[i])
-        # 2 * overlap <= both - differ, and the union is both - overlap
-        most = (both - differ) // 2
-        return js[den * most >= num * (both - most)]
+def _tiles(t: Fraction):
+    """Pairs across components that sizes and bitmaps allow, of rows sorted by tile, size and class."""
+    num, den = t.numerator, t.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a, out_b, many = [], [], 0
         pack = lambda: _batch("a long, b long", [np.concatenate(out_a), np.concatenate(out_b)])
-        for _, one, two, n, node, chunk, head, bitmap, root in _runs(batches, 3):
-            if across and (root == root[0]).all() or not head.any():
+        for tok, one, two, n, node, chunk, head, bitmap, root, firsts in _runs(batches, 3):
+            if (root == root[0]).all() or not head.any():
                 continue
-            maps = np.frombuffer(b"".join(bitmap), dtype=np.uint64).reshape(len(n), -1)
-            low = np.searchsorted(n, -(-n.astype(np.int64) * num // den))  # sizes ascend
+            # Sizes ascend, and so do widths: each width is a stretch of rows.
+            wide, n = np.array([len(m) for m in bitmap]), n.astype(np.int64)
+            cuts = [0, *(np.flatnonzero(wide[1:] != wide[:-1]) + 1).tolist(), len(n)]
+            stretches = [(x, y, _maps(bitmap[x:y])) for x, y in zip(cuts, cuts[1:], strict=False)]
+            low = np.searchsorted(n, -(-n * num // den))
+            own_list = int(tok[0])
+            firsts = [frozenset(f.tolist()) if f is not None else frozenset() for f in firsts]
             for i in range(1, len(n)):
-                first = int(low[i]) if across else max(int(low[i]), i - LOOK_BACK)
-                if first >= i:
-                    continue
-                js = np.arange(first, i)
-                js = js[head[first:i] & (node[first:i] != node[i])]
-                if across:
-                    js = js[root[js] != root[i]]
+                js = np.arange(low[i], i)
+                js = js[head[js] & (root[js] != root[i])]
                 if one[0] != two[0]:
                     js = js[chunk[js] != chunk[i]]
-                if len(js) and len(js := allowed(i, js, n, maps)):
-                    js = js if across else js[-1:]
+                if len(js):
+                    own = np.frombuffer(bitmap[i], dtype=np.uint64)
+                    differ = np.concatenate([
+                        np.bitwise_count(maps[part - x] ^ _folded(own, maps.shape[1])).sum(axis=1, dtype=np.int64)
+                        for x, y, maps in stretches if len(part := js[(js >= x) & (js < y)])
+                    ])
+                    js = js[_enough(n[js], n[i], differ, t)]
+                # Where a pair shares first shingles, only the list of the smallest of them gives it.
+                js = np.array([j for j in js.tolist() if not (both := firsts[i] & firsts[j]) or min(both) == own_list], dtype=np.int64)
+                if len(js):
                     out_a.append(np.full(len(js), node[i]))
                     out_b.append(node[js])
                     many += len(js)
@@ -222,13 +263,21 @@ def _check(t: Fraction):
     return run
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _small(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
+    """``df``, to be broadcast if it has ``rows`` rows at most."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, t: Fraction) -> DataFrame:
     """The links among ``pairs`` (a, b) of classes: the sets are made again from the texts of their representatives."""
-    pairs = written(pairs.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    pairs = written(_ordered(pairs), "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = written(nodes.join(classes, "node").select("node", F.col("row").alias("_row")), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = docs.select(F.col("_row").alias("_r"), "_text").join(wanted, F.col("_r") == F.col("_row"))
+    texts = docs.select(F.col("_row").alias("_r"), "_text").join(_small(wanted), F.col("_r") == F.col("_row"))
     sets = written(texts.select("node", "_text").dropDuplicates(["node"]).mapInArrow(_tokens(k), "node long, tokens binary"), "sets")
     theirs = pairs.join(sets, pairs.b == sets.node).select("a", "b", "tokens")
     own = pairs.select("a").distinct().join(sets, F.col("a") == F.col("node")).select("a", F.lit(None).cast("long").alias("b"), "tokens")
@@ -237,19 +286,9 @@ def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, t: Fra
     return written(ready.mapInArrow(_check(t), "a long, b long"), "near")
 
 
-def near_components(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles`` long and ``component_id`` long for each row of ``docs``.
-
-    Two texts link when the Jaccard similarity of their sets of k-word shingles reaches ``similarity``;
-    ``component_id`` is the smallest id that links reach, the row's own included. A text with fewer than k
-    words has its whole sequence as one shingle. Null and empty texts have none and link with nothing; their
-    component is their own id. Null ids are never the smallest; a component of null ids only is null. Repeated
-    ids and rows are rows like others. An empty table gives no rows; other columns are left out.
-    """
+def _rooted(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """``_id``, ``_row``, ``node``, ``n`` and ``root`` of each row of ``docs`` (_id, _text, _row); root is null without shingles."""
     spark: SparkSession = docs.sparkSession
-    t = Fraction(similarity)
-    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    docs = docs.withColumn("_row", F.xxhash64("_id", "_text"))
     path = fresh_dir(spark, "sets")
     named = docs.select("_row", "_text").mapInArrow(_sets(k), _SETS.replace("doc_id", "row"))
     named.write.partitionBy("kind").parquet(path)
@@ -261,35 +300,82 @@ def near_components(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction
 
     # A row for each class: one row of its texts, and its bitmap.
     classes = written(rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("row", "n", "bitmap")).alias("x")).select("node", "x.*"), "classes")
-    postings = docs.select("_text").mapInArrow(_prefixes(k, t, late), _POSTINGS).distinct()
-    order = Window.partitionBy("tok")
-    lists = postings.withColumn("many", F.count("*").over(order)).filter("many > 1")
-    lists = lists.withColumn("chunk", F.floor((F.row_number().over(order.orderBy("n", "node")) - 1) / CHUNK).cast("int"))
-    lists = lists.withColumn("chunks", F.ceil(F.col("many") / CHUNK).cast("int")).drop("many")
-    lists = written(lists.join(classes.select("node", "bitmap"), "node"), "lists")
-
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def pairs(rows: DataFrame, across: bool) -> DataFrame:
-        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)) if across else F.col("chunk")
-        tiles = rows.withColumn("other", other)
-        tiles = tiles.select("tok", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "n", "node", "chunk", "head", "bitmap", "root")
-        tiles = tiles.repartition(parts, "tok", "one", "two").sortWithinPartitions("tok", "one", "two", "n", "node")
-        return tiles.mapInArrow(_tiles(t, across), "a long, b long")
-
-    near = _exact(pairs(lists.withColumn("root", F.col("node")), False), docs, classes, k, t)
-    groups = components(near)
-    rooted = lists.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = _exact(pairs(rooted, True), docs, classes, k, t)
+    # One exchange by shingle serves copies of postings, list sizes, chunks and neighbours.
+    postings = docs.select("_text").mapInArrow(_prefixes(k, t, late), _POSTINGS).repartition(parts, "tok").distinct()
+    order = Window.partitionBy("tok")
+    by_size = order.orderBy("n", "node")
+    lists = postings.withColumn("many", F.count("*").over(order)).withColumn("at", F.row_number().over(by_size) - 1)
+    earlier = [F.lag(F.when(F.col("head"), F.struct("node", "n")), i).over(by_size).alias(f"p{i}") for i in range(1, LOOK_BACK + 1)]
+    lists = lists.select("*", *earlier).filter("many > 1").withColumns({"chunk": F.floor(F.col("at") / CHUNK).cast("int"), "chunks": F.ceil(F.col("many") / CHUNK).cast("int")})
+    lists = written(lists.drop("many", "at"), "lists")
+
+    # Each row and the few before it in its lists, where sizes and bitmaps allow.
+    chain = lists.select("node", "n", F.explode(F.array(*(f"p{i}" for i in range(1, LOOK_BACK + 1)))).alias("p"))
+    chain = chain.filter((F.col("p.n") * t.denominator >= F.col("n") * t.numerator)).select(F.col("node").alias("a"), F.col("p.node").alias("b"))
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"map_{c}"))
+    chain = _ordered(chain).join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "map_a", "map_b")
+    near = _exact(chain.mapInArrow(_pruned(t), "a long, b long"), docs, classes, k, t)
+    groups = written(components(near), "groups")
+
+    # All pairs across components, in tiles of the lists that hold more than one component.
+    rooted = lists.drop(*(f"p{i}" for i in range(1, LOOK_BACK + 1))).join(_small(groups), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    near_size = (F.lag("n").over(by_size) * t.denominator >= F.col("n") * t.numerator) | (F.col("n") * t.denominator >= F.lead("n").over(by_size) * t.numerator)
+    rooted = rooted.withColumns({"lo": F.min("root").over(order), "hi": F.max("root").over(order), "some": near_size}).filter("lo < hi AND some").drop("lo", "hi", "some")
+    rooted = written(rooted, "rooted")
+    firsts = rooted.filter("head").groupBy("node").agg(F.slice(F.array_sort(F.collect_list("tok")), 1, FIRSTS).alias("firsts"))
+    sides = classes.select("node", "bitmap").join(firsts, "node", "left")
+    rooted = rooted.join(sides, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiles = rooted.select("tok", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "n", "node", "chunk", "head", "bitmap", "root", "firsts")
+    tiles = tiles.repartition(parts, "tok", "one", "two").sortWithinPartitions("tok", "one", "two", "n", "node")
+    more = _exact(tiles.mapInArrow(_tiles(t), "a long, b long"), docs, classes, k, t)
     groups = written(components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "groups")
 
     ids = docs.select("_id", "_row").join(rows.select(F.col("row").alias("_row"), "node", "n").dropDuplicates(["_row"]), "_row")
     ids = written(ids.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")), "ids")
+    return ids
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    return docs.withColumn("_row", F.xxhash64("_id", "_text"))
+
+
+def near_components(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``n_shingles`` long and ``component_id`` long for each row of ``docs``.
+
+    Two texts link when the Jaccard similarity of their sets of k-word shingles reaches ``similarity``;
+    ``component_id`` is the smallest id that links reach, the row's own included. A text with fewer than k
+    words has its whole sequence as one shingle. Null and empty texts have none and link with nothing; their
+    component is their own id. Null ids are never the smallest; a component of null ids only is null. Repeated
+    ids and rows are rows like others. An empty table gives no rows; other columns are left out.
+    """
+    ids = _rooted(_rows(docs, id_col, text_col), k, Fraction(similarity))
     least = ids.filter("root IS NOT NULL").groupBy("root").agg(F.min("_id").alias("least")).withColumnRenamed("root", "of")
     out = ids.join(least, F.col("root") == F.col("of"), "left")
     return out.select(F.col("_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(3, 4), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` less all but one row of each component: the smallest id stays (null last), among equal ids any one row.
+
+    Rows without shingles are in no component and stay.
+    """
+    ids = _rooted(_rows(docs, id_col, text_col), k, Fraction(similarity)).filter("root IS NOT NULL")
+    rank = F.struct(F.col("_id").isNull().alias("last"), "_id", "_row")
+    stay = ids.groupBy("root").agg(F.min(rank)["_row"].alias("stay"))
+    gone = written(ids.join(stay, "root").filter("_row != stay").select(F.col("_row").alias("_gone")).distinct(), "gone")
+    again = ids.groupBy("_row").count().filter("count > 1").select(F.col("_row").alias("_gone"))
+    key, = spare(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
+    out = keyed.join(_small(gone), F.col(key) == F.col("_gone"), "left_anti")
+    if again.limit(1).count():
+        repeated = written(again, "again")
+        twice = out.join(repeated, F.col(key) == F.col("_gone"), "left_semi").dropDuplicates([key])
+        out = out.join(repeated, F.col(key) == F.col("_gone"), "left_anti").unionByName(twice)
+    return out.drop(key)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, five-word shingles, similarity 0.75."""
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -89,12 +89,12 @@ def upwind_flux(spark, sf_dir):
 
 
 @register("hll_flux", NB + """, s AS (SELECT i, j, q1 AS l, q2 AS r, 0.5 * q1 * q1 AS fl, 0.5 * q2 * q2 AS fr, least(least(q1, q2) - 250, 0) AS sl, greatest(greatest(q1, q2) - 250, 0) AS sr FROM w WHERE q1 IS NOT NULL)
-SELECT i, j, round((sr * fl - sl * fr + sl * sr * (r - l)) / (sr - sl + CASE WHEN sr - sl = 0 THEN 1 ELSE 0 END), 4) AS flux FROM s""")
+SELECT i, j, round((sr * fl - sl * fr + sl * sr * (r - l)) / (sr - sl + CASE WHEN sr - sl = 0 THEN 1 ELSE 0 END), 2) AS flux FROM s""")
 def hll_flux(spark, sf_dir):
     rows = grid(spark, sf_dir).select("i", "j", F.col("q").alias("r"), F.lag("q").over(along_i()).alias("l")).filter("l IS NOT NULL")
     l, r = F.col("l"), F.col("r")
     flux = stencils.hll(l, r, 0.5 * l * l, 0.5 * r * r, F.least(l, r) - 250, F.greatest(l, r) - 250)
-    return rows.select("i", "j", F.round(flux, 4).alias("flux"))
+    return rows.select("i", "j", F.round(flux, 2).alias("flux"))
 
 
 @register("min_mod_gradient", NB + " SELECT i, j, round(0.5 * (sign(q2 - q1) + sign(q3 - q2)) * least(abs((q2 - q1) / 0.1), abs((q3 - q2) / 0.1)), 5) AS g FROM w WHERE q1 IS NOT NULL AND q3 IS NOT NULL")

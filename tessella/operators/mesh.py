@@ -51,11 +51,11 @@ class Location:
         return touch
 
     def key(self, depth: int) -> int:
-        """Place in the Z-order of leaves down to ``depth``."""
-        out = 0
-        for bit in range(depth):
-            for axis, x in enumerate(self.lx):
-                out |= (((x << (depth - self.level)) >> bit) & 1) << (bit * len(self.lx) + axis)
+        """Place in the Z-order of leaves down to level ``depth``."""
+        out, at = 0, [x << (depth - self.level) for x in self.lx]
+        for bit in range(max(x.bit_length() for x in at)):
+            for axis, x in enumerate(at):
+                out |= ((x >> bit) & 1) << (bit * len(at) + axis)
         return out
 
 
@@ -129,9 +129,8 @@ class Tree:
             self.add(Location(self.tree, level, lx))
 
     def sorted_leaves(self) -> list[Location]:
-        depth = max(leaf.level for leaf in self.leaves) + max(n.bit_length() for n in self.roots)
         top = max(leaf.level for leaf in self.leaves)
-        return sorted(self.leaves, key=lambda leaf: Location(leaf.tree, leaf.level, leaf.lx).key(max(depth, top)))
+        return sorted(self.leaves, key=lambda leaf: leaf.key(top))
 
     def neighbours(self, loc: Location) -> list[tuple[tuple[int, ...], Location]]:
         """Offset and leaf of each neighbour: of the same level, coarser, or the finer ones that touch."""

@@ -30,16 +30,17 @@ BROADCAST_ROWS = 1_000_000
 def shingle_set(line: Column) -> Column:
     """Ascending distinct hashes of a line's shingles; empty for a blank line."""
     own = F.regexp_extract_all(F.lower(line), F.lit(SHINGLE), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(own, lambda s: F.xxhash64(s))))
+    # sort_array sorts longs as such; array_sort would compare them one by one
+    return F.sort_array(F.array_distinct(F.transform(own, lambda s: F.xxhash64(s))))
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _pairs_of(sketch: Column) -> Column:
-    """The bands: each two of the sketch."""
-    two = [F.when(F.size(sketch) > j, F.xxhash64(F.get(sketch, F.lit(i)), F.get(sketch, F.lit(j)))) for j in range(SKETCH) for i in range(j)]
+def _bands(s: Column) -> Column:
+    """The bands of an ascending set: each two of its SKETCH smallest."""
+    two = [F.when(F.size(s) > j, F.xxhash64(F.get(s, F.lit(i)), F.get(s, F.lit(j)))) for j in range(SKETCH) for i in range(j)]
     return F.filter(F.array(*two), lambda x: x.isNotNull())
 
 
@@ -53,21 +54,20 @@ def duplicate_lines(docs: DataFrame, key: str, similarity: float = SIMILARITY) -
     Lines are what stands between line feeds. Blank ones stay. Of equal and near lines the first stays, by doc_id (null
     last), then key, then place. Long lines are taken whole.
     """
-    rows = docs.select(F.col(key).alias("row"), "doc_id", F.posexplode(lines_of(F.col("text"))).alias("place", "line"))
-    rows = rows.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    rows = rows.withColumn("h", F.xxhash64("line")).select("row", "doc_id", "place", "h", "line")
-    # The first of each kind of equal lines; texts stay behind.
+    lines = docs.select(F.col(key).alias("row"), "doc_id", F.posexplode_outer(lines_of(F.col("text"))).alias("place", "line"))
+    lines = lines.filter(F.col("line").rlike(r"\S"))
+    # One pass over the texts: where each line is, its hash, and its signature; the texts stay behind.
+    signature = let(shingle_set(F.col("line")), lambda s: F.struct(F.size(s).alias("n"), _bands(s).alias("bands")))
+    signed = lines.select("row", "doc_id", "place", F.xxhash64("line").alias("h"), signature.alias("s"))
+    signed = written(signed, "line-signatures")
+    places = signed.select("row", "doc_id", "place", "h")
+    # The first of each kind of equal lines, which speaks for all.
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "place")
-    places = written(rows.select("row", "doc_id", "place", "h"), "places")
-    kinds = places.groupBy("h").agg(F.min(rank).alias("first"), F.count("*").alias("many"))
-    kinds = written(kinds.select("h", "many", "first.*").drop("last"), "kinds")
-
-    # Signatures of the lines that are the first of their kind, band by band.
-    band = let(shingle_set(F.col("line")), lambda s: F.struct(F.size(s).alias("n"), _pairs_of(F.slice(s, 1, SKETCH)).alias("bands")))
-    signed = rows.select("h", band.alias("b")).filter(F.size("b.bands") > 0)
-    banded = signed.select("h", F.col("b.n").alias("n"), F.explode("b.bands").alias("band"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    banded = banded.repartition(parts, "band").distinct()
+    kinds = signed.groupBy("h").agg(F.min(rank).alias("first"), F.count("*").alias("many"), F.first("s").alias("s"))
+    kinds = written(kinds.select("h", "many", "first.doc_id", "first.row", "first.place", "s"), "kinds")
+
+    banded = kinds.select("h", F.col("s.n").alias("n"), F.explode_outer("s.bands").alias("band")).filter("band IS NOT NULL")
+    kinds = kinds.drop("s")
     bucket = Window.partitionBy("band").orderBy("n", "h")
     seen = F.array(F.first(F.struct("h", "n")).over(bucket), *(F.lag(F.struct("h", "n"), i).over(bucket) for i in range(1, LOOK_BACK + 1)))
     banded = banded.withColumn("seen", seen)
@@ -81,8 +81,9 @@ def duplicate_lines(docs: DataFrame, key: str, similarity: float = SIMILARITY) -
     wanted = written(wanted, "line-wanted")
     holders = wanted.groupBy(F.col("row").alias("_holder")).agg(F.map_from_entries(F.collect_list(F.struct("place", "h"))).alias("at"))
     held = docs.select(F.col(key).alias("row"), "text").join(_small(written(holders, "line-holders")), F.col("row") == F.col("_holder"))
-    each = held.dropDuplicates(["row"]).select("at", F.posexplode(lines_of(F.col("text"))).alias("place", "line")).withColumn("h", F.try_element_at("at", F.col("place")))
-    sets = written(each.filter(F.col("h").isNotNull()).select("h", shingle_set(F.col("line")).alias("s")), "line-sets")
+    each = held.select("at", F.posexplode(lines_of(F.col("text"))).alias("place", "line")).withColumn("h", F.try_element_at("at", F.col("place")))
+    sets = each.filter(F.col("h").isNotNull()).dropDuplicates(["h"]).select("h", shingle_set(F.col("line")).alias("s"))
+    sets = written(sets, "line-sets")
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     near = both.filter(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import integrators, solvers
+from tessella.operators.elements import difference, face_coefficients, measure, position, variable_mat_vec
+from tessella.operators.refine import running_cost
 from tessella.plans.meshes import GRID, grid
 from tessella.plans.registry import register, table
 from tessella.sources import snapshots
@@ -114,3 +116,57 @@ def subsample(spark, sf_dir):
     return grid(spark, sf_dir).filter("i % 4 = 0 AND j % 4 = 0")
 
 
+
+
+@register("variable_poisson", f"""WITH {GRID}, f AS (SELECT i, j, q / 250 AS d, lead(q / 250) OVER (PARTITION BY j ORDER BY i) AS dn, q, lag(q) OVER (PARTITION BY j ORDER BY i) AS ql, lead(q) OVER (PARTITION BY j ORDER BY i) AS qr FROM grid)
+SELECT i, j, round((d + coalesce(dn, 0)) * q - d * coalesce(ql, 0) - coalesce(dn * qr, 0), 6) AS ax FROM f WHERE j < 20""")
+def variable_poisson(spark, sf_dir):
+    cells = grid(spark, sf_dir).filter("j < 20")
+    faces = cells.select("i", "j", (F.col("q") / 250).alias("d"))
+    ax = variable_mat_vec(cells, face_coefficients(faces, "i", ["i", "j"], "d", 1.0), ["i", "j"], "q", "ax")
+    return ax.select("i", "j", F.round("ax", 6).alias("ax"))
+
+
+@register("face_divergence", f"""WITH {GRID}, d AS (SELECT i, j, (lead(q) OVER (PARTITION BY j ORDER BY i) - q) / 0.1 + (lead(q) OVER (PARTITION BY i ORDER BY j) - q) / 0.2 AS div FROM grid)
+SELECT i, j, round(div, 6) AS div FROM d WHERE div IS NOT NULL""")
+def face_divergence(spark, sf_dir):
+    cells = grid(spark, sf_dir)
+    parts = [difference(cells, [o], a, "q", 1 / d, "div").select("i", "j", "div") for a, o, d in (("i", "j", 0.1), ("j", "i", 0.2))]
+    both = parts[0].unionByName(parts[1]).groupBy("i", "j").agg(F.sum("div").alias("div"), F.count("*").alias("n")).filter("n = 2")
+    return both.select("i", "j", F.round("div", 6).alias("div"))
+
+
+@register("element_positions", f"WITH {GRID} SELECT i, j, round(-1 + i * 0.02::DOUBLE, 8) AS f1, round(-1 + (i + 0.5) * 0.02::DOUBLE, 8) AS e1, round(0.02::DOUBLE * 0.05, 8) AS area FROM grid")
+def element_positions(spark, sf_dir):
+    i = F.col("i")
+    return grid(spark, sf_dir).select("i", "j", F.round(position("F1", 1, i, -1.0, 0.02), 8).alias("f1"), F.round(position("E1", 1, i, -1.0, 0.02), 8).alias("e1"), F.round(measure("F1", (F.lit(3.0), F.lit(0.02), F.lit(0.05))), 8).alias("area"))
+
+
+@register("merged_particles", "SELECT event_type, count(*) AS n FROM (SELECT * FROM events WHERE user_id < 50 UNION ALL SELECT * FROM events WHERE user_id >= 100) GROUP BY 1")
+def merged_particles(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return events.filter("user_id < 50").unionByName(events.filter("user_id >= 100")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@register("newly_refined", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 10)")
+def newly_refined(spark, sf_dir):
+    seen = table(spark, sf_dir, "lineitem").filter("l_quantity > 10").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey").join(seen, "o_orderkey", "left_anti")
+
+
+@register("masked_blocks", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_discount > 0.095)")
+def masked_blocks(spark, sf_dir):
+    mask = table(spark, sf_dir, "lineitem").filter("l_discount > 0.095").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey").join(mask, "o_orderkey", "left_semi")
+
+
+@register("static_region", "SELECT p_partkey, r FROM part JOIN (VALUES (0, 1, 10), (1, 8, 30), (2, 45, 50)) t(r, lo, hi) ON p_size BETWEEN lo AND hi")
+def static_region(spark, sf_dir):
+    # a handful of regions
+    regions = spark.createDataFrame([(0, 1, 10), (1, 8, 30), (2, 45, 50)], "r int, lo int, hi int")
+    return table(spark, sf_dir, "part").join(F.broadcast(regions), F.col("p_size").between(F.col("lo"), F.col("hi"))).select("p_partkey", "r")
+
+
+@register("running_costs", "SELECT p_partkey, round(p_retailprice * 9 / 10.0 + p_size / 10.0, 8) AS cost FROM part")
+def running_costs(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(running_cost(F.col("p_retailprice"), F.col("p_size"), 10), 8).alias("cost"))

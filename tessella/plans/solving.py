@@ -8,18 +8,17 @@ from pyspark.sql import functions as F
 from tessella.operators import integrators, solvers
 from tessella.operators.elements import difference, face_coefficients, measure, position, variable_mat_vec
 from tessella.operators.refine import running_cost
-from tessella.plans.meshes import GRID, grid
+from tessella.plans.meshes import GRID, NX, grid
 from tessella.plans.registry import register, table
 from tessella.sources import snapshots
 from tessella.streaming.cadence import cadence
 
-SIDE = 16
-#: A square of the grid, as the right-hand side of a Poisson problem.
-SQUARE = f"{GRID}, sq AS (SELECT i, j, q / 100 AS b FROM grid WHERE i < {SIDE} AND j < {SIDE})"
+#: The whole grid as the right-hand side of a Poisson problem.
+SQUARE = f"{GRID}, sq AS (SELECT i, j, q / 100 AS b FROM grid)"
 
 
-def square(spark, sf_dir) -> DataFrame:
-    return grid(spark, sf_dir).filter((F.col("i") < SIDE) & (F.col("j") < SIDE)).select("i", "j", (F.col("q") / 100).alias("b"))
+def right_hand_side(spark, sf_dir) -> DataFrame:
+    return grid(spark, sf_dir).select("i", "j", (F.col("q") / 100).alias("b"))
 
 
 def _jacobi_sql(steps: int, omega: float) -> str:
@@ -32,19 +31,19 @@ def _jacobi_sql(steps: int, omega: float) -> str:
 
 @register("poisson_jacobi", _jacobi_sql(4, 0.75))
 def poisson_jacobi(spark, sf_dir):
-    out = solvers.jacobi(square(spark, sf_dir), ["i", "j"], "b", solvers.poisson(1.0), [0.75] * 4)
+    out = solvers.jacobi(right_hand_side(spark, sf_dir), ["i", "j"], "b", solvers.poisson(1.0), [0.75] * 4)
     return out.select("i", "j", F.round("x", 8).alias("x"))
 
 
 @register("poisson_bicgstab")
 def poisson_bicgstab(spark, sf_dir):
-    state, _, _ = solvers.bicgstab(square(spark, sf_dir), ["i", "j"], "b", solvers.poisson(1.0), tolerance=1e-3, most=6)
+    state, _, _ = solvers.bicgstab(right_hand_side(spark, sf_dir), ["i", "j"], "b", solvers.poisson(1.0), tolerance=1e-3, most=4)
     return state.select("i", "j", "x")
 
 
 @register("poisson_v_cycle")
 def poisson_v_cycle(spark, sf_dir):
-    return solvers.v_cycle(square(spark, sf_dir), ["i", "j"], "b", 1.0, SIDE, stages=1, coarsest=8).select("i", "j", "x")
+    return solvers.v_cycle(right_hand_side(spark, sf_dir), ["i", "j"], "b", 1.0, NX, stages=1, coarsest=25).select("i", "j", "x")
 
 
 def _decay_sql() -> str:
@@ -63,27 +62,27 @@ def rk3_decay(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(u0, 9).alias("u"))
 
 
-_A = "SELECT event_id AS k, value AS v, user_id::DOUBLE AS u FROM events WHERE event_id % 10 <> 3"
-_B = "SELECT event_id AS k, value + CASE WHEN event_id % 7 = 0 THEN 0.5 ELSE 0 END AS v, user_id::DOUBLE AS u FROM events WHERE event_id % 10 <> 4"
+_A = "SELECT event_id AS k, value AS v, user_id::DOUBLE AS u FROM events WHERE event_type <> 'error'"
+_B = "SELECT event_id AS k, value + CASE WHEN user_id < 20 THEN 0.5 ELSE 0 END AS v, user_id::DOUBLE AS u FROM events WHERE event_type <> 'view'"
 
 
 @register("snapshot_diff", f"""WITH a AS ({_A}), b AS ({_B}), j AS (SELECT a.k AS ka, b.k AS kb, abs(a.v - b.v) AS dv, abs(a.u - b.u) AS du FROM a FULL JOIN b ON a.k = b.k)
 SELECT 'v' AS "column", sum((ka IS NULL OR kb IS NULL)::INT)::BIGINT AS missing, round(max(dv), 8) AS worst, sum((dv > 1e-6)::INT)::BIGINT AS over FROM j
 UNION ALL SELECT 'u', sum((ka IS NULL OR kb IS NULL)::INT)::BIGINT, round(max(du), 8), sum((du > 1e-6)::INT)::BIGINT FROM j""")
 def snapshot_diff(spark, sf_dir):
-    events, e = table(spark, sf_dir, "events"), F.col("event_id")
-    a = events.filter(e % 10 != 3).select(e.alias("k"), F.col("value").alias("v"), F.col("user_id").alias("u"))
-    b = events.filter(e % 10 != 4).select(e.alias("k"), (F.col("value") + F.when(e % 7 == 0, 0.5).otherwise(0.0)).alias("v"), F.col("user_id").alias("u"))
+    events, kind, user = table(spark, sf_dir, "events"), F.col("event_type"), F.col("user_id")
+    a = events.filter(kind != "error").select(F.col("event_id").alias("k"), F.col("value").alias("v"), user.alias("u"))
+    b = events.filter(kind != "view").select(F.col("event_id").alias("k"), (F.col("value") + F.when(user < 20, 0.5).otherwise(0.0)).alias("v"), user.alias("u"))
     return snapshots.diff(a, b, ["k"], ["v", "u"], 1e-6).withColumn("worst", F.round("worst", 8))
 
 
-@register("snapshot_nearest", """WITH a AS (SELECT event_id AS k, (event_id * 7919 % 10007) / 10007.0::DOUBLE AS x, (event_id * 104729 % 10009) / 10009.0::DOUBLE AS y FROM events WHERE event_id < 2000),
-p AS (SELECT a.k, b.k AS m, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d FROM a JOIN a b ON a.k <> b.k AND b.k % 2 = 0 AND a.k % 2 = 1 AND abs(a.x - b.x) <= 0.02 AND abs(a.y - b.y) <= 0.02),
-r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, m) AS r FROM p) SELECT a.k, m, round(d, 10) AS distance2 FROM a LEFT JOIN (SELECT * FROM r WHERE r = 1) r ON r.k = a.k WHERE a.k % 2 = 1""")
+@register("snapshot_nearest", """WITH a AS (SELECT event_id AS k, event_type = 'click' AS own, (event_id * 7919 % 10007) / 10007.0::DOUBLE AS x, (event_id * 104729 % 10009) / 10009.0::DOUBLE AS y FROM events),
+p AS (SELECT a.k, b.k AS m, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d FROM a JOIN a b ON a.own AND NOT b.own AND abs(a.x - b.x) <= 0.01 AND abs(a.y - b.y) <= 0.01),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, m) AS r FROM p) SELECT a.k, m, round(d, 10) AS distance2 FROM a LEFT JOIN (SELECT * FROM r WHERE r = 1) r ON r.k = a.k WHERE a.own""")
 def snapshot_nearest(spark, sf_dir):
-    e = F.col("event_id")
-    points = table(spark, sf_dir, "events").filter(e < 2000).select(e.alias("k"), (e * 7919 % 10007 / 10007.0).alias("x"), (e * 104729 % 10009 / 10009.0).alias("y"))
-    out = snapshots.nearest(points.filter("k % 2 = 1"), "k", points.filter("k % 2 = 0").withColumnRenamed("k", "m"), "m", ["x", "y"], 0.02)
+    e, own = F.col("event_id"), F.col("event_type") == "click"
+    points = table(spark, sf_dir, "events").select(e.alias("k"), own.alias("own"), (e * 7919 % 10007 / 10007.0).alias("x"), (e * 104729 % 10009 / 10009.0).alias("y"))
+    out = snapshots.nearest(points.filter("own"), "k", points.filter("NOT own").withColumnRenamed("k", "m"), "m", ["x", "y"], 0.01)
     return out.withColumn("distance2", F.round("distance2", 10))
 
 
@@ -119,9 +118,9 @@ def subsample(spark, sf_dir):
 
 
 @register("variable_poisson", f"""WITH {GRID}, f AS (SELECT i, j, q / 250 AS d, lead(q / 250) OVER (PARTITION BY j ORDER BY i) AS dn, q, lag(q) OVER (PARTITION BY j ORDER BY i) AS ql, lead(q) OVER (PARTITION BY j ORDER BY i) AS qr FROM grid)
-SELECT i, j, round((d + coalesce(dn, 0)) * q - d * coalesce(ql, 0) - coalesce(dn * qr, 0), 6) AS ax FROM f WHERE j < 20""")
+SELECT i, j, round((d + coalesce(dn, 0)) * q - d * coalesce(ql, 0) - coalesce(dn * qr, 0), 6) AS ax  FROM f""")
 def variable_poisson(spark, sf_dir):
-    cells = grid(spark, sf_dir).filter("j < 20")
+    cells = grid(spark, sf_dir)
     faces = cells.select("i", "j", (F.col("q") / 250).alias("d"))
     ax = variable_mat_vec(cells, face_coefficients(faces, "i", ["i", "j"], "d", 1.0), ["i", "j"], "q", "ax")
     return ax.select("i", "j", F.round("ax", 6).alias("ax"))
@@ -142,10 +141,10 @@ def element_positions(spark, sf_dir):
     return grid(spark, sf_dir).select("i", "j", F.round(position("F1", 1, i, -1.0, 0.02), 8).alias("f1"), F.round(position("E1", 1, i, -1.0, 0.02), 8).alias("e1"), F.round(measure("F1", (F.lit(3.0), F.lit(0.02), F.lit(0.05))), 8).alias("area"))
 
 
-@register("merged_particles", "SELECT event_type, count(*) AS n FROM (SELECT * FROM events WHERE user_id < 50 UNION ALL SELECT * FROM events WHERE user_id >= 100) GROUP BY 1")
+@register("merged_particles", "SELECT event_type, count(*) AS n FROM (SELECT * FROM events WHERE user_id < 75 UNION ALL SELECT * FROM events WHERE user_id >= 75) GROUP BY 1")
 def merged_particles(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    return events.filter("user_id < 50").unionByName(events.filter("user_id >= 100")).groupBy("event_type").agg(F.count("*").alias("n"))
+    return events.filter("user_id < 75").unionByName(events.filter("user_id >= 75")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @register("newly_refined", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 10)")

@@ -2,45 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Word separators of every word-based operator: blank and U+0009 to U+000D.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where neither that setting nor a checkpoint folder is set (as in tests) a temporary one is made.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else ""
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
+from tessella.session import fresh_dir, shared_dir, written
 
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A folder name of its own below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["WORD", "fresh_dir", "let", "quoted", "read", "released", "shared_dir", "sliced", "small_batches", "spare", "word_count", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
-
-    The shuffle files behind it are of no more use; Spark removes them once the driver's collector has seen that.
-    """
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Word separators of every word-based operator: blank and U+0009 to U+000D.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def let(value: Column, body) -> Column:
@@ -72,3 +48,49 @@ def quoted(df: DataFrame) -> list[Column]:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts hold ``BATCH_ROWS`` rows, unless the session asks for fewer: both ends keep a batch whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def _release() -> None:
+    """Give freed memory back to the system: a Python worker lives on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches, with memory given back after each result and at the end."""
+
+    @functools.wraps(run)
+    def around(batches: Iterator) -> Iterator:
+        for out in run(batches):
+            yield out
+            del out
+            _release()
+        _release()
+
+    return around
+
+
+def sliced(column: pa.Array, size: int = 4 << 20) -> Iterator[pa.Array]:
+    """Slices of a text column of about ``size`` bytes, one row at least."""
+    lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if held and held + n > size:
+            yield column.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(column):
+        yield column.slice(start)

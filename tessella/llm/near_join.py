@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fresh_dir, spare, written
+from tessella.llm.common import fresh_dir, released, small_batches, spare, written
 from tessella.llm.components import components
 from tessella.llm.shingles import shingle_sets
 
@@ -93,7 +93,7 @@ def _sets(k: int):
                     held.append(tokens)
             n = len(sizes)
             yield _batch(_SETS, [np.zeros(n, np.int32), ids, nodes, sizes, np.zeros(n, np.int64), maps])
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 2_000_000:
                 yield frequent()
         if held:
             yield frequent()
@@ -278,19 +278,20 @@ def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, t: Fra
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = written(nodes.join(classes, "node").select("node", F.col("row").alias("_row")), "wanted")
     texts = docs.select(F.col("_row").alias("_r"), "_text").join(_small(wanted), F.col("_r") == F.col("_row"))
-    sets = written(texts.select("node", "_text").dropDuplicates(["node"]).mapInArrow(_tokens(k), "node long, tokens binary"), "sets")
+    sets = written(texts.select("node", "_text").dropDuplicates(["node"]).mapInArrow(released(_tokens(k)), "node long, tokens binary"), "sets")
     theirs = pairs.join(sets, pairs.b == sets.node).select("a", "b", "tokens")
     own = pairs.select("a").distinct().join(sets, F.col("a") == F.col("node")).select("a", F.lit(None).cast("long").alias("b"), "tokens")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = theirs.union(own).repartition(parts, "a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
-    return written(ready.mapInArrow(_check(t), "a long, b long"), "near")
+    return written(ready.mapInArrow(released(_check(t)), "a long, b long"), "near")
 
 
 def _rooted(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     """``_id``, ``_row``, ``node``, ``n`` and ``root`` of each row of ``docs`` (_id, _text, _row); root is null without shingles."""
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     path = fresh_dir(spark, "sets")
-    named = docs.select("_row", "_text").mapInArrow(_sets(k), _SETS.replace("doc_id", "row"))
+    named = docs.select("_row", "_text").mapInArrow(released(_sets(k)), _SETS.replace("doc_id", "row"))
     named.write.partitionBy("kind").parquet(path)
     made = spark.read.schema(_SETS.replace("doc_id", "row")).parquet(path)
     rows = made.filter("kind = 0").select("row", "node", "n", "bitmap")
@@ -302,7 +303,7 @@ def _rooted(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     classes = written(rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("row", "n", "bitmap")).alias("x")).select("node", "x.*"), "classes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # One exchange by shingle serves copies of postings, list sizes, chunks and neighbours.
-    postings = docs.select("_text").mapInArrow(_prefixes(k, t, late), _POSTINGS).repartition(parts, "tok").distinct()
+    postings = docs.select("_text").mapInArrow(released(_prefixes(k, t, late)), _POSTINGS).repartition(parts, "tok").distinct()
     order = Window.partitionBy("tok")
     by_size = order.orderBy("n", "node")
     lists = postings.withColumn("many", F.count("*").over(order)).withColumn("at", F.row_number().over(by_size) - 1)
@@ -315,7 +316,7 @@ def _rooted(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     chain = chain.filter((F.col("p.n") * t.denominator >= F.col("n") * t.numerator)).select(F.col("node").alias("a"), F.col("p.node").alias("b"))
     side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"map_{c}"))
     chain = _ordered(chain).join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "map_a", "map_b")
-    near = _exact(chain.mapInArrow(_pruned(t), "a long, b long"), docs, classes, k, t)
+    near = _exact(chain.mapInArrow(released(_pruned(t)), "a long, b long"), docs, classes, k, t)
     groups = written(components(near), "groups")
 
     # All pairs across components, in tiles of the lists that hold more than one component.
@@ -328,7 +329,7 @@ def _rooted(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     rooted = rooted.join(sides, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiles = rooted.select("tok", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "n", "node", "chunk", "head", "bitmap", "root", "firsts")
     tiles = tiles.repartition(parts, "tok", "one", "two").sortWithinPartitions("tok", "one", "two", "n", "node")
-    more = _exact(tiles.mapInArrow(_tiles(t), "a long, b long"), docs, classes, k, t)
+    more = _exact(tiles.mapInArrow(released(_tiles(t)), "a long, b long"), docs, classes, k, t)
     groups = written(components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "groups")
 
     ids = docs.select("_id", "_row").join(rows.select(F.col("row").alias("_row"), "node", "n").dropDuplicates(["_row"]), "_row")
@@ -379,3 +380,19 @@ def one_of_each(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(3,
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, five-word shingles, similarity 0.75."""
     return near_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP7_SQL = """
+WITH RECURSIVE t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM t),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_have FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both_have >= 75 * (a.n + b.n - both_have)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id WHERE r.root < e.y),
+m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
+"""

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import let, quoted, spare, written
+from tessella.llm.common import let, released, sliced, small_batches
 from tessella.llm.shingles import _powers, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -30,11 +30,11 @@ MARK = "▁"
 #: Kinds of pieces and of models in the file format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Segments of the dictionary, and occurrences in a batch from which one is counted.
-DICTIONARY, LOCAL = 200_000, 6
+#: Segments of the dictionary, and occurrences in a block of text from which one is counted.
+DICTIONARY, LOCAL = 200_000, 4
 #: Segments up to this length are folded together, longer ones with a heap.
 SHORT = 48
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _TABLE = np.random.default_rng(0xB17E).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
@@ -361,15 +361,16 @@ def frequent_segments(texts: DataFrame, model: Model, most: int = DICTIONARY) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, int] = {}
-            for data, starts, hashes, _ in _blocks(batch.column(0), prefix, alone):
-                if len(hashes):
-                    _, index, many = np.unique(hashes, return_index=True, return_counts=True)
-                    for i, c in zip(index[many >= LOCAL].tolist(), many[many >= LOCAL].tolist(), strict=True):
-                        s = _segment(data, starts, i)
-                        counts[s] = counts.get(s, 0) + c
+            for part in sliced(batch.column(0)):
+                for data, starts, hashes, _ in _blocks(part, prefix, alone):
+                    if len(hashes):
+                        _, index, many = np.unique(hashes, return_index=True, return_counts=True)
+                        for i, c in zip(index[many >= LOCAL].tolist(), many[many >= LOCAL].tolist(), strict=True):
+                            s = _segment(data, starts, i)
+                            counts[s] = counts.get(s, 0) + c
             yield pa.RecordBatch.from_pydict({"segment": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
 
-    counted = texts.mapInArrow(run, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(released(run), "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
     return counted.filter(F.char_length("segment") <= 64).orderBy(F.desc("n"), "segment").limit(most).select("segment")
 
 
@@ -380,6 +381,7 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", out: str = "id
     counts as a blank.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop(out) if out != text_col else docs
     words = lattice(frequent_segments(docs.select(text_col), model, dictionary), model).collect()  # bounded by `dictionary`
     hashes = [_cut(np.frombuffer(w.segment.replace(MARK, " ").encode(), np.uint8), np.array([0, len(w.segment.replace(MARK, " ").encode())]), np.zeros(256, bool)) for w in words]
@@ -393,30 +395,33 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", out: str = "id
     alone, prefix = model.alone, model.prefix
 
     @F.arrow_udf("array<int>")
+    @released
     def coded(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, known, size, spot, flat = held.value
         folder = Folder(model)
         for column in columns:
-            ids, sizes = [], []
-            for data, starts, hashes, per in _blocks(column, prefix, alone):
-                kinds, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-                at = np.minimum(np.searchsorted(known, kinds), max(0, len(known) - 1))
-                there = known[at] == kinds if len(known) else np.zeros(len(kinds), dtype=bool)
-                rest = np.flatnonzero(~there)
-                more, many = folder.fold([_segment(data, starts, i) for i in index[rest].tolist()])
-                pool = np.concatenate([flat, more])
-                n, where = np.empty(len(kinds), np.int64), np.empty(len(kinds), np.int64)
-                if len(known):
-                    n[there], where[there] = size[at[there]], spot[at[there]]
-                n[rest], where[rest] = many, len(flat) + np.cumsum(many) - many
-                own = n[inverse]
-                ends = np.cumsum(own)
-                total = int(ends[-1]) if len(ends) else 0
-                ids.append(pool[np.repeat(where[inverse] - (ends - own), own) + np.arange(total)])
-                sizes.append(np.diff(np.append(0, ends)[per]))
-            offsets = np.append(0, np.cumsum(np.concatenate(sizes))) if sizes else np.zeros(1, np.int64)
+            ids, sizes = [], [np.zeros(1, np.int64)]
+            for part in sliced(column):
+                for data, starts, hashes, per in _blocks(part, prefix, alone):
+                    kinds, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+                    at = np.minimum(np.searchsorted(known, kinds), max(0, len(known) - 1))
+                    there = known[at] == kinds if len(known) else np.zeros(len(kinds), dtype=bool)
+                    rest = np.flatnonzero(~there)
+                    more, many = folder.fold([_segment(data, starts, i) for i in index[rest].tolist()])
+                    pool = np.concatenate([flat, more])
+                    n, where = np.empty(len(kinds), np.int64), np.empty(len(kinds), np.int64)
+                    if len(known):
+                        n[there], where[there] = size[at[there]], spot[at[there]]
+                    n[rest], where[rest] = many, len(flat) + np.cumsum(many) - many
+                    own = n[inverse]
+                    ends = np.cumsum(own)
+                    total = int(ends[-1]) if len(ends) else 0
+                    ids.append(pool[np.repeat(where[inverse] - (ends - own), own) + np.arange(total)])
+                    sizes.append(np.diff(np.append(0, ends)[per]))
+            offsets = pa.array(np.cumsum(np.concatenate(sizes)), pa.int32())
             values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=column.is_null() if column.null_count else None)
+            del ids
+            yield pa.ListArray.from_arrays(offsets, values, mask=column.is_null() if column.null_count else None)
 
     return docs.withColumn(out, coded(F.col(text_col)))
 

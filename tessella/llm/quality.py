@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import quoted, spare, written
+from tessella.llm.common import quoted, released, small_batches, spare, written
 from tessella.llm.shingles import words
 
 #: Labelled documents fitted on, and unlabelled ones of the pool: those with the smallest hash of their id.
@@ -202,6 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_pool:
     Features are made where the texts are; one task gathers them for at most ``max_fit`` labelled and ``max_pool``
     other documents. Null ids and labels take no part, several labels of an id count as the smallest.
     """
+    small_batches(docs.sparkSession)
     own = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
     few = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     others = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).join(own, "doc_id", "left_anti").distinct()
@@ -214,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_pool:
             cats = np.stack([_bucket(b.column(3)), _bucket(b.column(4))], axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(cats.tolist(), pa.list_(pa.int64()))], ["doc_id", "y", "x", "c"])
 
-    rows = written(sample.mapInArrow(featured, "doc_id long, y double, x array<double>, c array<long>"), "quality")
+    rows = written(sample.mapInArrow(released(featured), "doc_id long, y double, x array<double>, c array<long>"), "quality")
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         all_rows = pd.concat(list(batches))
@@ -226,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_pool:
         yield pd.DataFrame({"part": parts.keys(), "v": [np.ravel(v).tolist() for v in parts.values()]})
 
     ready = rows.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(1), "doc_id"), "doc_id", "x")
-    parts = {r.part: np.array(r.v) for r in ready.mapInPandas(fitted, "part string, v array<double>").collect()}
+    parts = {r.part: np.array(r.v) for r in ready.mapInPandas(released(fitted), "part string, v array<double>").collect()}
     if not parts:
         return co_train(np.zeros((0, CONTENT + META)), np.zeros((0, 2), np.int64), np.zeros(0))
     views = [View(parts[f"e{k}"].reshape(-1, BINS - 1), parts[f"w{k}"], float(parts[f"b{k}"][0])) for k in (0, 1)]
@@ -240,13 +241,16 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
     names are replaced.
     """
     names = ("quality_score", "content_score", "meta_score")
+    small_batches(docs.sparkSession)
     docs = docs.drop(*names)
     held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     @F.arrow_udf("struct<a:double,b:double,c:double>")
-    def scored(text: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Array:
-        s = held.value.scores(numbers(text), np.stack([_bucket(lang), _bucket(source)], axis=1))
-        return pa.StructArray.from_arrays([pa.array(s[:, k]) for k in range(3)], ["a", "b", "c"])
+    @released
+    def scored(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for text, lang, source in batches:
+            s = held.value.scores(numbers(text), np.stack([_bucket(lang), _bucket(source)], axis=1))
+            yield pa.StructArray.from_arrays([pa.array(s[:, k]) for k in range(3)], ["a", "b", "c"])
 
     at, = spare(docs, "_scored")
     out = docs.withColumn(at, scored("text", "lang", "source"))

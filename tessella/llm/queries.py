@@ -5,7 +5,7 @@ from __future__ import annotations
 from tessella.llm.fingerprints import op3_order_minhash
 from tessella.llm.line_dedup import op6_fuzzy_line_dedup
 from tessella.llm.mixing import op2_mix_to_weights
-from tessella.llm.near_join import op7_ngram_jaccard_join
+from tessella.llm.near_join import OP7_SQL, op7_ngram_jaccard_join
 from tessella.llm.neighbours import OP9_SQL, op9_nearest_vectors
 from tessella.llm.pieces import op1_sentencepiece
 from tessella.llm.quality import op5_quality_classifier
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op7_ngram_jaccard_join": OP7_SQL,
     "op9_nearest_vectors": OP9_SQL,
     "op10_warc_round_trip": OP10_SQL,
 }

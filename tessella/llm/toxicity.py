@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import quoted, spare, written
+from tessella.llm.common import quoted, released, small_batches, spare, written
 from tessella.llm.features import BITS, Block, blocks
 
 #: Labelled documents that the model is fitted on: those with the smallest hash of their id.
@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Weights
     Null labels and ids take no part, several labels of an id count as the largest. Without any label, or with one kind
     only, the model says that kind.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     own = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
     sample = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Weights
         yield pa.RecordBatch.from_pydict({"slot": np.append(-1, model.slots).astype(np.int64), "weight": np.append(model.bias, model.weights)})
 
     # Sorted, so that a rerun adds in the same order.
-    model = written(sample.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(run, "slot long, weight double"), "toxicity")
+    model = written(sample.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(released(run), "slot long, weight double"), "toxicity")
     rows = sorted((r.slot, r.weight) for r in model.collect()) or [(-1, -20.0)]
     return Weights(np.array([r[0] for r in rows[1:]], dtype=np.int32), np.array([r[1] for r in rows[1:]]), rows[0][1])
 
@@ -158,6 +158,7 @@ def score(docs: DataFrame, model: Weights, threshold: float = THRESHOLD, text_co
     sentence and the score 0. Columns of ``docs`` with the added names are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop("score", "offending")
     held = spark.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
     found = "array<struct<start:int,end:int,score:double>>"

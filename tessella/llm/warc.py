@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fresh_dir
+from tessella.llm.common import fresh_dir, small_batches
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -104,6 +104,8 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 6
     each partition, and one row of the manifest for each file; partitions without rows write none.
     """
 
+    small_batches(pages.sparkSession)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _place(folder)
         name = f"{top}/pages-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"

@@ -83,7 +83,7 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     return around
 
 
-def sliced(column: pa.Array, size: int = 4 << 20) -> Iterator[pa.Array]:
+def sliced(column: pa.Array, size: int = 1 << 20) -> Iterator[pa.Array]:
     """Slices of a text column of about ``size`` bytes, one row at least."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0

@@ -31,10 +31,10 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Segments of the dictionary, and occurrences in a block of text from which one is counted.
-DICTIONARY, LOCAL = 200_000, 4
+DICTIONARY, LOCAL = 200_000, 3
 #: Segments up to this length are folded together, longer ones with a heap.
 SHORT = 48
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _TABLE = np.random.default_rng(0xB17E).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
@@ -211,7 +211,6 @@ class Folder:
         order = np.argsort(-np.array(model.scores), kind="stable")
         self.rank = np.empty(len(order), dtype=np.int64)
         self.rank[order] = np.arange(len(order))
-        self.table = dict(pairs)
 
     def _start(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         text = np.frombuffer("".join(segments).encode("utf-32-le"), dtype=np.uint32)
@@ -220,6 +219,11 @@ class Folder:
         codes = np.array([self.char.get(chr(c), -int(c) - 1) for c in kinds], dtype=np.int64)
         return codes[inverse], np.repeat(np.arange(len(segments)), [len(s) for s in segments])
 
+    def _pair(self, a: int, b: int) -> int | None:
+        key = a << 20 | b
+        at = min(int(np.searchsorted(self.keys, key)), len(self.keys) - 1)
+        return int(self.into[at]) if self.keys[at] == key else None
+
     def _joined(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = np.where((sym[:-1] >= 0) & (sym[1:] >= 0), sym[:-1] << 20 | sym[1:], -2)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -287,7 +291,7 @@ class Folder:
 
         def push(i: int) -> None:
             j = right[i]
-            if i >= 0 and j >= 0 and sym[i] >= 0 and sym[j] >= 0 and (r := self.table.get(sym[i] << 20 | sym[j])) is not None:
+            if i >= 0 and j >= 0 and sym[i] >= 0 and sym[j] >= 0 and (r := self._pair(sym[i], sym[j])) is not None:
                 heapq.heappush(heap, (int(self.rank[r]), i, sym[i], sym[j]))
 
         for i in range(len(sym) - 1):
@@ -298,7 +302,7 @@ class Folder:
             j = right[i]
             if gone[i] or j < 0 or sym[i] != a or sym[j] != b:
                 continue
-            sym[i], gone[j], right[i] = self.table[a << 20 | b], True, right[j]
+            sym[i], gone[j], right[i] = self._pair(a, b), True, right[j]
             if right[j] >= 0:
                 left[right[j]] = i
             push(i)
@@ -374,6 +378,21 @@ def frequent_segments(texts: DataFrame, model: Model, most: int = DICTIONARY) ->
     return counted.filter(F.char_length("segment") <= 64).orderBy(F.desc("n"), "segment").limit(most).select("segment")
 
 
+def _dictionary(words: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending hashes of the segments of (segment, ids), how many ids each has, where they begin, and all ids."""
+    if not words.num_rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    plain = pc.replace_substring(words["segment"].cast(pa.large_string()), MARK, " ").combine_chunks()
+    offsets = np.frombuffer(plain.buffers()[1], dtype=np.int64)[plain.offset : plain.offset + len(plain) + 1]
+    data = np.frombuffer(plain.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    _, hashes, per = _cut(data, offsets - offsets[0], np.zeros(256, dtype=bool))
+    ids = words["ids"].combine_chunks()
+    size, flat = pc.list_value_length(ids).to_numpy().astype(np.int64), pc.list_flatten(ids).to_numpy().astype(np.int32)
+    whole = np.flatnonzero(np.diff(per) == 1)
+    whole = whole[np.argsort(hashes[per[whole]], kind="stable")]
+    return hashes[per[whole]], size[whole], (np.cumsum(size) - size)[whole], flat
+
+
 def encode(docs: DataFrame, model: Model, text_col: str = "text", out: str = "ids", dictionary: int = DICTIONARY) -> DataFrame:
     """Add ``out`` array<int> to each row of ``docs``: the pieces of its whole text.
 
@@ -383,15 +402,9 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", out: str = "id
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.drop(out) if out != text_col else docs
-    words = lattice(frequent_segments(docs.select(text_col), model, dictionary), model).collect()  # bounded by `dictionary`
-    hashes = [_cut(np.frombuffer(w.segment.replace(MARK, " ").encode(), np.uint8), np.array([0, len(w.segment.replace(MARK, " ").encode())]), np.zeros(256, bool)) for w in words]
-    key = np.array([h[1][0] for h in hashes], dtype=np.uint64)
-    whole = np.array([len(h[0]) == 1 for h in hashes], dtype=bool)
-    keep = np.flatnonzero(whole) if len(words) else np.zeros(0, np.int64)
-    keep = keep[np.argsort(key[keep])]
-    size = np.array([len(words[i].ids) for i in keep], dtype=np.int64)
-    flat = np.array([x for i in keep for x in words[i].ids], dtype=np.int32)
-    held = spark.sparkContext.broadcast((model, key[keep], size, np.cumsum(size) - size, flat))
+    words = lattice(frequent_segments(docs.select(text_col), model, dictionary), model).toArrow()  # bounded by `dictionary`
+    key, size, spot, flat = _dictionary(words)
+    held = spark.sparkContext.broadcast((model, key, size, spot, flat))
     alone, prefix = model.alone, model.prefix
 
     @F.arrow_udf("array<int>")

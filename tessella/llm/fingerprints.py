@@ -64,12 +64,12 @@ def signature(text: Column, k: int = K, take: int = TAKE, seed: int = 42) -> Col
     def tuples(m: Column) -> Column:
         turned = lambda x: x.bitwiseAND(place) * (1 << RANK_BITS) + F.shiftright(x, POSITION_BITS).bitwiseAND((1 << RANK_BITS) - 1)
         of = lambda x, i: F.filter(F.slice(m, i + 1, take), lambda y: slot(y) == slot(x))
-        ranks = lambda x, i: F.transform(F.array_sort(F.transform(of(x, i), turned)), lambda y: y.bitwiseAND((1 << RANK_BITS) - 1))
+        ranks = lambda x, i: F.transform(F.sort_array(F.transform(of(x, i), turned)), lambda y: y.bitwiseAND((1 << RANK_BITS) - 1))
         tup = lambda x, i: F.when((i == 0) | (slot(F.get(m, i - 1)) != slot(x)), slot(x) * (1 << 32) + _high(F.xxhash64(ranks(x, i)), 32))
         return F.filter(F.transform(m, tup), lambda y: y.isNotNull())
 
-    return let(tokens, lambda t: let(F.array_sort(kmers(t)), lambda s: F.when(F.size(s) == 0, s).otherwise(
-        let(F.array_sort(numbered(s)), lambda r: let(selected(r), tuples)))))
+    return let(tokens, lambda t: let(F.sort_array(kmers(t)), lambda s: F.when(F.size(s) == 0, s).otherwise(
+        let(F.sort_array(numbered(s)), lambda r: let(selected(r), tuples)))))
 
 
 def fingerprint(units: Column) -> Column:

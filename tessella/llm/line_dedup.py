@@ -4,9 +4,11 @@ A line, lower-cased, is the set of its character shingles: the WINDOW code point
 where a token is a run of at most 16 characters and the blanks behind it. Equal lines meet first by hash. Of
 the others, the signature is the SKETCH smallest shingle hashes, and each two of them are a band, so that lines
 at the threshold share a band with a probability of over 0.98 and nearer ones almost surely. In a band's
-bucket each line is paired with the few before it and with the first, never all with all; the pairs are verified
-by exact Jaccard similarity of the whole sets. Links are joined into components, and of each component only the
-first line, by document and place, stays.
+bucket each line is first paired with the few before it and with the first; the pairs are verified by exact Jaccard
+similarity of the whole sets, and what links is joined into components. Buckets that still hold more than one then give
+all pairs across components, in tiles of two chunks by size, whose links complete them: no link between lines of a
+bucket is lost. A set of one shingle is a band of its own. Of each component only the first line, by document and
+place, stays.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ SKETCH = 5
 SIMILARITY = 0.75
 #: Earlier lines of a bucket that a line is paired with, besides the first.
 LOOK_BACK = 2
+#: Rows of a chunk of a bucket: a tile holds two chunks at most.
+CHUNK = 256
 #: Rows of a list of documents or lines up to which it is broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -39,9 +43,34 @@ def lines_of(text: Column) -> Column:
 
 
 def _bands(s: Column) -> Column:
-    """The bands of an ascending set: each two of its SKETCH smallest."""
+    """The bands of an ascending set: each two of its SKETCH smallest, or its only one."""
+    one = F.when(F.size(s) == 1, F.xxhash64(F.get(s, F.lit(0))))
     two = [F.when(F.size(s) > j, F.xxhash64(F.get(s, F.lit(i)), F.get(s, F.lit(j)))) for j in range(SKETCH) for i in range(j)]
-    return F.filter(F.array(*two), lambda x: x.isNotNull())
+    return F.filter(F.array(one, *two), lambda x: x.isNotNull())
+
+
+def _near(a: Column, b: Column, similarity: float) -> Column:
+    """Whether the Jaccard similarity of two sets is enough."""
+    return F.size(F.array_intersect(a, b)) * (1 + similarity) >= similarity * (F.size(a) + F.size(b))
+
+
+def _across(lists: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) across components in the buckets that hold more than one and that the first pairs don't exhaust.
+
+    ``lists``: rows (band, h, n, at, many) of buckets, ``at`` by size. A line that is in no first pair has none near its
+    size in its buckets, so ``sets`` holds all that can link.
+    """
+    whole = Window.partitionBy("band")
+    rooted = lists.filter(F.col("many") > LOOK_BACK + 2).select("band", "h", "n", "at", "many").join(groups, F.col("h") == F.col("node"), "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "h")).withColumns({"lo": F.min("root").over(whole), "hi": F.max("root").over(whole)})
+    rooted = rooted.filter("lo < hi").withColumns({"chunk": F.floor(F.col("at") / CHUNK).cast("int"), "last": F.floor((F.col("many") - 1) / CHUNK).cast("int")})
+    rooted = written(rooted.select("band", "h", "n", "at", "root", "chunk", "last"), "line-rooted").join(sets, "h")
+    one = rooted.select("band", F.col("chunk").alias("one"), F.explode(F.sequence("chunk", "last")).alias("two"), "at", "h", "n", "root", "s").alias("x")
+    two = rooted.select("band", F.explode(F.sequence(F.lit(0), "chunk")).alias("one"), F.col("chunk").alias("two"), "at", "h", "n", "root", "s").alias("y")
+    tile = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "one", "two")]
+    may = [F.col("x.at") < F.col("y.at"), F.col("x.root") != F.col("y.root"), F.col("x.n") >= similarity * F.col("y.n")]
+    links = one.join(two, [*tile, *may, _near(F.col("x.s"), F.col("y.s"), similarity)])
+    return written(links.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct(), "line-links")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -70,8 +99,10 @@ def duplicate_lines(docs: DataFrame, key: str, similarity: float = SIMILARITY) -
     kinds = kinds.drop("s")
     bucket = Window.partitionBy("band").orderBy("n", "h")
     seen = F.array(F.first(F.struct("h", "n")).over(bucket), *(F.lag(F.struct("h", "n"), i).over(bucket) for i in range(1, LOOK_BACK + 1)))
-    banded = banded.withColumn("seen", seen)
-    pairs = banded.select(F.col("h").alias("a"), "n", F.explode(F.array_distinct("seen")).alias("p"))
+    many = F.count("*").over(bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    lists = banded.select("*", seen.alias("seen"), many.alias("many"), (F.row_number().over(bucket) - 1).alias("at")).filter("many > 1")
+    lists = written(lists, "line-lists")
+    pairs = lists.select(F.col("h").alias("a"), "n", F.explode(F.array_distinct("seen")).alias("p"))
     pairs = pairs.filter((F.col("a") != F.col("p.h")) & (F.col("p.n") >= similarity * F.col("n")))
     pairs = pairs.select(F.greatest("a", "p.h").alias("a"), F.least("a", "p.h").alias("b")).distinct()
     pairs = written(pairs, "line-pairs")
@@ -85,11 +116,13 @@ def duplicate_lines(docs: DataFrame, key: str, similarity: float = SIMILARITY) -
     sets = each.filter(F.col("h").isNotNull()).dropDuplicates(["h"]).select("h", shingle_set(F.col("line")).alias("s"))
     sets = written(sets, "line-sets")
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    near = both.filter(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    near = written(both.filter(_near(F.col("sa"), F.col("sb"), similarity)).select("a", "b"), "line-near")
+
+    groups = written(components(near), "line-groups")
+    more = _across(lists, groups, sets, similarity)
+    groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     # One line of each component: the first of the first lines of its kinds.
-    groups = components(near)
     kind = kinds.join(groups, kinds.h == groups.node, "left").withColumn("root", F.coalesce("root", "h")).drop("node")
     stay = kind.groupBy("root").agg(F.min(rank).alias("stay"), F.sum("many").alias("all")).filter(F.col("all") > 1)
     stay = kind.select("h", "root").join(stay, "root").select("h", F.col("stay.row").alias("stay_row"), F.col("stay.place").alias("stay_place"))

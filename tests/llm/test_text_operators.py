@@ -163,6 +163,33 @@ def test_lines_against_brute_force(spark, docs):
     assert got == brute_lines(rows)
 
 
+def hot_lines(rng, pairs=30):
+    """Texts in no order, each with a near copy, that share the bands of five 12-character words of least hash."""
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = {"".join(w) for w in rng.choice(letters, (50_000, 12))}
+    common = sorted(words, key=lambda w: struct.unpack("q", struct.pack("Q", xxhash.xxh64_intdigest(w.encode(), 42))))[:5]
+    out = []
+    for _ in range(pairs):
+        own = ["".join(w) for w in rng.choice(letters, (25, 8))]
+        out += [" ".join(common + own), " ".join(common + [*own[:20], "replaced", *own[21:]])]
+    return [out[i] for i in rng.permutation(len(out))]
+
+
+@pytest.mark.parametrize("chunk", [8, 256])
+def test_near_lines_apart_in_a_hot_bucket(spark, docs, monkeypatch, chunk):
+    monkeypatch.setattr(line_dedup, "CHUNK", chunk)
+    rows = list(enumerate(hot_lines(np.random.default_rng(5))))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(rows)).collect()}
+    assert got == brute_lines(rows)
+    assert sum(t == "" for t in got.values()) == 30
+
+
+def test_lines_of_one_shingle(spark, docs):
+    rows = [(1, "Unsubscribe"), (2, "UNSUBSCRIBE"), (3, "unsubscribed\nok"), (4, "OK")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(rows)).collect()}
+    assert got == {1: "Unsubscribe", 2: "", 3: "unsubscribed\nok", 4: ""}
+
+
 def test_odd_lines(spark, odd):
     df = odd.withColumns({"n_lines": F.lit("mine"), "_drops": F.lit(0), "_line_key": F.lit(1)})
     rows = line_dedup.dedup_lines(df).collect()

@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash, on DataFrame functions only.
 
-A line, lower-cased, is the set of its character shingles: the WINDOW code points from the start of each token,
-where a token is a run of at most 16 characters and the blanks behind it. Equal lines meet first by hash. Of
+A line, lower-cased, is the set of its character shingles: the 12 code points from each place; a shorter line is one
+shingle. Equal lines meet first by hash. Of
 the others, the signature is the SKETCH smallest shingle hashes, and each two of them are a band, so that lines
 at the threshold share a band with a probability of over 0.98 and nearer ones almost surely. In a band's
 bucket each line is first paired with the few before it and with the first; the pairs are verified by exact Jaccard
@@ -19,14 +19,15 @@ from pyspark.sql import functions as F
 from tessella.llm.common import let, quoted, spare, written
 from tessella.llm.components import components
 
-WINDOW = 12
-SHINGLE = r"(?s)(?=(.{1,12}))(?:[^\x20\x09-\x0D]{1,16}[\x20\x09-\x0D]*|[\x20\x09-\x0D]+)"
+SHINGLE = r"(?s)(?=(.{12}|\A.{1,11}(?!.)))."
 SKETCH = 5
 SIMILARITY = 0.75
 #: Earlier lines of a bucket that a line is paired with, besides the first.
 LOOK_BACK = 2
 #: Rows of a chunk of a bucket: a tile holds two chunks at most.
 CHUNK = 256
+#: Words of a line's bitmap, a power of two.
+WORDS = 8
 #: Rows of a list of documents or lines up to which it is broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -49,28 +50,46 @@ def _bands(s: Column) -> Column:
     return F.filter(F.array(one, *two), lambda x: x.isNotNull())
 
 
-def _near(a: Column, b: Column, similarity: float) -> Column:
-    """Whether the Jaccard similarity of two sets is enough."""
-    return F.size(F.array_intersect(a, b)) * (1 + similarity) >= similarity * (F.size(a) + F.size(b))
+def _map(s: Column) -> Column:
+    """The bitmap of a set: the parity of its hashes in each of 64 * WORDS buckets."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 8).bitwiseAND(63).cast("int"))
+    word = lambda w: F.aggregate(s, F.lit(0).cast("long"), lambda m, x: F.when(x.bitwiseAND(WORDS - 1) == w, m.bitwiseXOR(bit(x))).otherwise(m))
+    return F.array(*(word(w) for w in range(WORDS)))
 
 
-def _across(lists: DataFrame, groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) across components in the buckets that hold more than one and that the first pairs don't exhaust.
+def _may(x: str, y: str, similarity: float) -> Column:
+    """Whether sizes and bitmaps of ``x`` and ``y`` leave room: sets differ in as many hashes as bitmaps in bits, at least."""
+    both = F.col(f"{x}.n") + F.col(f"{y}.n")
+    differ = sum((F.bit_count(F.get(f"{x}.map", F.lit(w)).bitwiseXOR(F.get(f"{y}.map", F.lit(w)))) for w in range(WORDS)), F.lit(0))
+    return (both - differ) * (1 + similarity) >= 2 * similarity * both
 
-    ``lists``: rows (band, h, n, at, many) of buckets, ``at`` by size. A line that is in no first pair has none near its
-    size in its buckets, so ``sets`` holds all that can link.
+
+def _near(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose exact Jaccard similarity is enough; the sets are made again from the lines, which are shorter."""
+    side = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    sets = F.struct(shingle_set(F.col("line_a")).alias("a"), shingle_set(F.col("line_b")).alias("b"))
+    enough = let(sets, lambda s: F.size(F.array_intersect(s.a, s.b)) * (1 + similarity) >= similarity * (F.size(s.a) + F.size(s.b)))
+    return written(both.filter(enough).select("a", "b"), "line-near")
+
+
+def _across(lists: DataFrame, groups: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) across components that sizes and bitmaps allow, in the buckets that the first pairs don't exhaust.
+
+    ``lists``: rows (band, h, at, many) of buckets, ``at`` by size. A line that is in no first pair has none near its
+    size in its buckets, so ``maps`` holds all that can link.
     """
     whole = Window.partitionBy("band")
-    rooted = lists.filter(F.col("many") > LOOK_BACK + 2).select("band", "h", "n", "at", "many").join(groups, F.col("h") == F.col("node"), "left")
+    rooted = lists.filter(F.col("many") > LOOK_BACK + 2).select("band", "h", "at", "many").join(groups, F.col("h") == F.col("node"), "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "h")).withColumns({"lo": F.min("root").over(whole), "hi": F.max("root").over(whole)})
     rooted = rooted.filter("lo < hi").withColumns({"chunk": F.floor(F.col("at") / CHUNK).cast("int"), "last": F.floor((F.col("many") - 1) / CHUNK).cast("int")})
-    rooted = written(rooted.select("band", "h", "n", "at", "root", "chunk", "last"), "line-rooted").join(sets, "h")
-    one = rooted.select("band", F.col("chunk").alias("one"), F.explode(F.sequence("chunk", "last")).alias("two"), "at", "h", "n", "root", "s").alias("x")
-    two = rooted.select("band", F.explode(F.sequence(F.lit(0), "chunk")).alias("one"), F.col("chunk").alias("two"), "at", "h", "n", "root", "s").alias("y")
+    rooted = written(rooted.select("band", "h", "at", "root", "chunk", "last").join(maps, "h"), "line-rooted")
+    one = rooted.select("band", F.col("chunk").alias("one"), F.explode(F.sequence("chunk", "last")).alias("two"), "at", "h", "n", "root", "map").alias("x")
+    two = rooted.select("band", F.explode(F.sequence(F.lit(0), "chunk")).alias("one"), F.col("chunk").alias("two"), "at", "h", "n", "root", "map").alias("y")
     tile = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "one", "two")]
-    may = [F.col("x.at") < F.col("y.at"), F.col("x.root") != F.col("y.root"), F.col("x.n") >= similarity * F.col("y.n")]
-    links = one.join(two, [*tile, *may, _near(F.col("x.s"), F.col("y.s"), similarity)])
-    return written(links.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct(), "line-links")
+    apart = [F.col("x.at") < F.col("y.at"), F.col("x.root") != F.col("y.root"), F.col("x.n") >= similarity * F.col("y.n")]
+    pairs = one.join(two, [*tile, *apart, _may("x", "y", similarity)]).select(F.greatest("x.h", "y.h").alias("a"), F.least("x.h", "y.h").alias("b"))
+    return written(pairs.distinct(), "line-pairs")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -107,20 +126,22 @@ def duplicate_lines(docs: DataFrame, key: str, similarity: float = SIMILARITY) -
     pairs = pairs.select(F.greatest("a", "p.h").alias("a"), F.least("a", "p.h").alias("b")).distinct()
     pairs = written(pairs, "line-pairs")
 
-    # Exact similarity: the sets are made again, of the lines that are in a pair, from the documents that hold them first.
+    # The lines that are in a pair and their bitmaps, from the documents that hold them first.
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct().join(kinds, "h").select("h", "row", "place")
     wanted = written(wanted, "line-wanted")
     holders = wanted.groupBy(F.col("row").alias("_holder")).agg(F.map_from_entries(F.collect_list(F.struct("place", "h"))).alias("at"))
     held = docs.select(F.col(key).alias("row"), "text").join(_small(written(holders, "line-holders")), F.col("row") == F.col("_holder"))
     each = held.select("at", F.posexplode(lines_of(F.col("text"))).alias("place", "line")).withColumn("h", F.try_element_at("at", F.col("place")))
-    sets = each.filter(F.col("h").isNotNull()).dropDuplicates(["h"]).select("h", shingle_set(F.col("line")).alias("s"))
-    sets = written(sets, "line-sets")
-    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
-    near = written(both.filter(_near(F.col("sa"), F.col("sb"), similarity)).select("a", "b"), "line-near")
+    each = each.filter(F.col("h").isNotNull()).dropDuplicates(["h"])
+    each = each.select("h", "line", let(shingle_set(F.col("line")), lambda s: F.struct(F.size(s).alias("n"), _map(s).alias("map"))).alias("s"))
+    texts = written(each.select("h", "line", "s.n", "s.map"), "line-texts")
+    maps = texts.select("h", "n", "map")
 
+    both = pairs.join(maps.alias("x"), F.col("a") == F.col("x.h")).join(maps.alias("y"), F.col("b") == F.col("y.h"))
+    near = _near(written(both.filter(_may("x", "y", similarity)).select("a", "b"), "line-pairs"), texts, similarity)
     groups = written(components(near), "line-groups")
-    more = _across(lists, groups, sets, similarity)
-    groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    near = _near(_across(lists, groups, maps, similarity), texts, similarity)
+    groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(near))
 
     # One line of each component: the first of the first lines of its kinds.
     kind = kinds.join(groups, kinds.h == groups.node, "left").withColumn("root", F.coalesce("root", "h")).drop("node")

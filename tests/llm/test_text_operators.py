@@ -184,6 +184,17 @@ def test_near_lines_apart_in_a_hot_bucket(spark, docs, monkeypatch, chunk):
     assert sum(t == "" for t in got.values()) == 30
 
 
+def test_shingles_start_at_every_character(spark, docs):
+    lines = ["2024-05-01T10:22:31Z INFO job finished ok", "2024-05-01T11:59:31Z INFO job finished ok", "Short", "", "é🙂" * 9, "x" * 40]
+    got = spark.createDataFrame(list(enumerate(lines)), "k int, line string").select("k", line_dedup.shingle_set(F.col("line")).alias("s")).collect()
+    plain = lambda x: {x[i : i + 12] for i in range(max(len(x) - 11, min(len(x), 1)))}
+    signed = lambda x: struct.unpack("q", struct.pack("Q", xxhash.xxh64_intdigest(x.encode(), 42)))[0]
+    assert {r.k: r.s for r in got} == {k: sorted(map(signed, plain(x.lower()))) for k, x in enumerate(lines)}
+    long = "".join(np.random.default_rng(3).choice(list("0123456789abcdef"), 300))
+    rows = [(i, x) for i, x in enumerate([*lines[:2], long, "#" + long])]
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(rows)).collect()} == {0: lines[0], 1: lines[1], 2: long, 3: ""}
+
+
 def test_lines_of_one_shingle(spark, docs):
     rows = [(1, "Unsubscribe"), (2, "UNSUBSCRIBE"), (3, "unsubscribed\nok"), (4, "OK")]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(rows)).collect()}

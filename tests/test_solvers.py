@@ -79,3 +79,24 @@ def test_bicgstab_and_multigrid(spark):
     one = solvers.v_cycle(grid, ["i", "j"], "b", 1.0, n, stages=2)
     first = size(solvers.residual(one, ["i", "j"], "b", solvers.poisson(1.0)))
     assert first < 0.35 * np.sqrt(np.mean(b**2))
+
+
+def test_poisson_query_is_solved(spark):
+    from tessella.plans import registry, solving
+
+    sf = "/root/testdata/sf0.001"
+    cells = {(r.i, r.j): float(r.b) for r in solving.right_hand_side(spark, sf).collect()}
+    at = {c: k for k, c in enumerate(cells)}
+    a = np.zeros((len(at), len(at)))
+    for (i, j), k in at.items():
+        for (di, dj), w in solvers.poisson(1.0):
+            if (i + di, j + dj) in at:
+                a[k, at[i + di, j + dj]] = w
+    want = np.linalg.solve(a, np.array(list(cells.values())))
+    rows = registry.queries()["poisson_bicgstab"](spark, sf).collect()
+    x = np.zeros(len(at))
+    for r in rows:
+        x[at[r.i, r.j]] = r.x
+    assert len(rows) == len(at) and all(r.residual < 1e-3 for r in rows)
+    assert np.sqrt(np.mean((a @ x - np.array(list(cells.values()))) ** 2)) < 2e-3
+    assert np.allclose(x, want, atol=1e-4 * np.abs(want).max())

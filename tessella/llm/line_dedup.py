@@ -1,154 +1,200 @@
 """Fuzzy line deduplication by MinHash, on DataFrame functions only.
 
-A line, lower-cased, is the set of its character shingles: the 12 code points from each place; a shorter line is one
-shingle. Equal lines meet first by hash. Of
-the others, the signature is the SKETCH smallest shingle hashes, and each two of them are a band, so that lines
-at the threshold share a band with a probability of over 0.98 and nearer ones almost surely. In a band's
-bucket each line is first paired with the few before it and with the first; the pairs are verified by exact Jaccard
-similarity of the whole sets, and what links is joined into components. Buckets that still hold more than one then give
-all pairs across components, in tiles of two chunks by size, whose links complete them: no link between lines of a
-bucket is lost. A set of one shingle is a band of its own. Of each component only the first line, by document and
-place, stays.
+A line, lower-cased, is the set of its character shingles: the SHINGLE code points from each place; a shorter line is one
+shingle. Shingles are rows that never leave their task: hashed in generated code, they fold into a row for each kind of
+equal lines (by two hashes), its MinHash signature: the smallest hash in each of SLOTS slots that the hash picks (one
+permutation). Two slots are a band; lines at the threshold share one with a probability of about 0.98, nearer ones almost
+surely. Lines of up to FEW shingles, whose slots are mostly empty, are banded by their smallest hash as well.
+
+In a band's bucket each line is paired with the first one; of what links, components are formed. Buckets that still hold
+more than one then give all pairs across components, by tiles of sizes and chunks, so that no two lines of a bucket go
+without a look. Pairs with the first that agree in enough slots, and others whose bitmaps leave room, are verified by
+exact Jaccard similarity of the whole sets. Of each component only the first line, by document and place, stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import let, quoted, spare, written
 from tessella.llm.components import components
 
-SHINGLE = r"(?s)(?=(.{12}|\A.{1,11}(?!.)))."
-SKETCH = 5
+SHINGLE = 12
 SIMILARITY = 0.75
-#: Earlier lines of a bucket that a line is paired with, besides the first.
-LOOK_BACK = 2
-#: Rows of a chunk of a bucket: a tile holds two chunks at most.
+#: Slots of a signature, the first of them paired into bands, and in how many of them lines at the threshold agree at
+#: least, but for one pair in some 300.
+SLOTS, BANDS, ALIKE = 10, 5, 4
+#: Shingles of a line that its signature is the minima of, at least, if it has as many.
+KEPT = 64
+#: Shingles up to which a line's smallest hash is a band, too.
+FEW = 12
+#: Words of the bitmaps that are compared in tiles, a power of two.
+WORDS = 16
+#: Rows of a bucket, about, that meet as many others in a tile.
 CHUNK = 256
-#: Words of a line's bitmap, a power of two.
-WORDS = 8
-#: Rows of a list of documents or lines up to which it is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a list of documents' lines up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+def _points(line: Column) -> Column:
+    """The lower-cased line in four bytes a code point: shingles are cut from any place without a search."""
+    return F.encode(F.lower(line), "UTF-32")
+
+
+def _places(points: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest((F.length(points) / 4).cast("int") - SHINGLE, F.lit(0)))
+
+
+def _shingle(points: Column, place: Column) -> Column:
+    return F.xxhash64(F.substring(points, 4 * place + 1, F.lit(4 * SHINGLE)))
 
 
 def shingle_set(line: Column) -> Column:
-    """Ascending distinct hashes of a line's shingles; empty for a blank line."""
-    own = F.regexp_extract_all(F.lower(line), F.lit(SHINGLE), F.lit(1))
-    # sort_array sorts longs as such; array_sort would compare them one by one
-    return F.sort_array(F.array_distinct(F.transform(own, lambda s: F.xxhash64(s))))
+    """Distinct hashes of a line's shingles."""
+    return F.array_distinct(let(_points(line), lambda b: F.transform(_places(b), lambda i: _shingle(b, i))))
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _bands(s: Column) -> Column:
-    """The bands of an ascending set: each two of its SKETCH smallest, or its only one."""
-    one = F.when(F.size(s) == 1, F.xxhash64(F.get(s, F.lit(0))))
-    two = [F.when(F.size(s) > j, F.xxhash64(F.get(s, F.lit(i)), F.get(s, F.lit(j)))) for j in range(SKETCH) for i in range(j)]
-    return F.filter(F.array(one, *two), lambda x: x.isNotNull())
-
+def _once(value: Column, name: str) -> Column:
+    """``value`` as a column that is computed once, in generated code: neither filters nor projects are moved into it."""
+    return F.explode(F.array(value)).alias(name)
 
-def _map(s: Column) -> Column:
-    """The bitmap of a set: the parity of its hashes in each of 64 * WORDS buckets."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 8).bitwiseAND(63).cast("int"))
-    word = lambda w: F.aggregate(s, F.lit(0).cast("long"), lambda m, x: F.when(x.bitwiseAND(WORDS - 1) == w, m.bitwiseXOR(bit(x))).otherwise(m))
-    return F.array(*(word(w) for w in range(WORDS)))
 
+def _signatures(lines: DataFrame) -> DataFrame:
+    """``h``, ``h2``, ``many`` (lines), ``least`` (shingle, of lines of few) and ``slots`` of each kind of equal ``lines`` (line).
 
-def _may(x: str, y: str, similarity: float) -> Column:
-    """Whether sizes and bitmaps of ``x`` and ``y`` leave room: sets differ in as many hashes as bitmaps in bits, at least."""
-    both = F.col(f"{x}.n") + F.col(f"{y}.n")
-    differ = sum((F.bit_count(F.get(f"{x}.map", F.lit(w)).bitwiseXOR(F.get(f"{y}.map", F.lit(w)))) for w in range(WORDS)), F.lit(0))
-    return (both - differ) * (1 + similarity) >= 2 * similarity * both
+    All are minima and sums over the shingles, which the map side forms before anything is sent.
+    """
+    own = lines.select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), _points(F.col("line")).alias("points"))
+    # A long line's shingles count if their leading zeros are as many as leave KEPT of them or more: of a smallest hash that stays
+    # nothing changes, and lines of all lengths are comparable.
+    zeros = F.greatest(F.floor(F.log2(F.length("points") / (4 * KEPT))), F.lit(0)).cast("int")
+    rows = own.select("h", "h2", "points", (63 - zeros).alias("_bits"), F.explode(_places(F.col("points"))).alias("place"))
+    rows = rows.select("h", "h2", "place", "_bits", F.shiftrightunsigned(_shingle(F.col("points"), F.col("place")), 1).alias("x"))
+    rows = rows.filter((F.call_function("shiftright", F.col("x"), F.col("_bits")) == 0) | (F.col("place") == 0))
+    slot = [F.min(F.when(F.col("x") % SLOTS == k, F.col("x"))).alias(f"s{k}") for k in range(SLOTS)]
+    kinds = rows.groupBy("h", "h2").agg(F.sum((F.col("place") == 0).cast("long")).alias("many"), F.max("place").alias("last"), *slot)
+    slots = [f"s{k}" for k in range(SLOTS)]
+    return kinds.select("h", "h2", "many", F.when(F.col("last") < FEW, F.array_min(F.array(*slots))).alias("least"), F.array(*slots).alias("slots"))
+
+
+def _bands(slots: Column, least: Column) -> Column:
+    """Pairs of slots that are not both empty, and the smallest hash of a line of few shingles."""
+    pair = [(F.get(slots, F.lit(2 * i)), F.get(slots, F.lit(2 * i + 1))) for i in range(BANDS)]
+    two = [F.when(a.isNotNull() | b.isNotNull(), F.xxhash64(F.lit(i), F.coalesce(a, F.lit(0)), F.coalesce(b, F.lit(0)))) for i, (a, b) in enumerate(pair)]
+    return F.array(*two, F.when(least.isNotNull(), F.xxhash64(F.lit(BANDS), least)))
+
+
+def _maps(sets: DataFrame) -> DataFrame:
+    """``id``, ``n``, ``map`` of ``sets`` (id, s): bitmaps with the parity of the hashes in each of 64 * WORDS buckets."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("x", 8).bitwiseAND(63).cast("int"))
+    words = [F.bit_xor(F.when(F.col("x").bitwiseAND(WORDS - 1) == w, bit)).alias(f"w{w}") for w in range(WORDS)]
+    rows = sets.select("id", F.explode("s").alias("x")).groupBy("id").agg(F.count("*").alias("n"), *words)
+    return rows.select("id", "n", F.array(*(F.coalesce(f"w{w}", F.lit(0).cast("long")) for w in range(WORDS))).alias("map"))
+
+
+def _may(similarity: float) -> Column:
+    """Whether sizes and bitmaps of x and y leave room: sets differ in as many hashes as bitmaps in bits, at least."""
+    both = F.col("x.n") + F.col("y.n")
+    differ = sum((F.bit_count(F.get("x.map", F.lit(w)).bitwiseXOR(F.get("y.map", F.lit(w)))) for w in range(WORDS)), F.lit(0))
+    sizes = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")
+    return sizes & ((both - differ) * (1 + similarity) >= 2 * similarity * both)
+
+
+def _alike() -> Column:
+    """Whether x and y agree in enough of the slots, those that are empty in both left out; lines of few slots always do."""
+    at = lambda c, k: F.get(f"{c}.slots", F.lit(k))
+    same = sum(((at("x", k) == at("y", k)).eqNullSafe(True).cast("int") for k in range(SLOTS)), F.lit(0))
+    used = sum(((at("x", k).isNotNull() | at("y", k).isNotNull()).cast("int") for k in range(SLOTS)), F.lit(0))
+    return (used < SLOTS) | (same >= ALIKE)
 
 
 def _near(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose exact Jaccard similarity is enough; the sets are made again from the lines, which are shorter."""
-    side = lambda c: texts.select(F.col("h").alias(c), F.col("line").alias(f"line_{c}"))
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    sets = F.struct(shingle_set(F.col("line_a")).alias("a"), shingle_set(F.col("line_b")).alias("b"))
-    enough = let(sets, lambda s: F.size(F.array_intersect(s.a, s.b)) * (1 + similarity) >= similarity * (F.size(s.a) + F.size(s.b)))
-    return written(both.filter(enough).select("a", "b"), "line-near")
+    sets = both.select("a", "b", _once(F.struct(shingle_set(F.col("line_a")).alias("a"), shingle_set(F.col("line_b")).alias("b")), "s"))
+    enough = F.size(F.array_intersect("s.a", "s.b")) * (1 + similarity) >= similarity * (F.size("s.a") + F.size("s.b"))
+    return written(sets.filter(enough).select("a", "b"), "line-near")
 
 
-def _across(lists: DataFrame, groups: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) across components that sizes and bitmaps allow, in the buckets that the first pairs don't exhaust.
+def _across(lists: DataFrame, groups: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) across components whose sizes and bitmaps leave room, in the buckets of ``lists`` (band, id, many) that pairs with the first don't exhaust.
 
-    ``lists``: rows (band, h, at, many) of buckets, ``at`` by size. A line that is in no first pair has none near its
-    size in its buckets, so ``maps`` holds all that can link.
+    A tile holds what a chunk of a bucket's lines of one class of sizes meets in another chunk, of the same class or the
+    one below: lines two classes apart are too different in size.
     """
-    whole = Window.partitionBy("band")
-    rooted = lists.filter(F.col("many") > LOOK_BACK + 2).select("band", "h", "at", "many").join(groups, F.col("h") == F.col("node"), "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "h")).withColumns({"lo": F.min("root").over(whole), "hi": F.max("root").over(whole)})
-    rooted = rooted.filter("lo < hi").withColumns({"chunk": F.floor(F.col("at") / CHUNK).cast("int"), "last": F.floor((F.col("many") - 1) / CHUNK).cast("int")})
-    rooted = written(rooted.select("band", "h", "at", "root", "chunk", "last").join(maps, "h"), "line-rooted")
-    one = rooted.select("band", F.col("chunk").alias("one"), F.explode(F.sequence("chunk", "last")).alias("two"), "at", "h", "n", "root", "map").alias("x")
-    two = rooted.select("band", F.explode(F.sequence(F.lit(0), "chunk")).alias("one"), F.col("chunk").alias("two"), "at", "h", "n", "root", "map").alias("y")
-    tile = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "one", "two")]
-    apart = [F.col("x.at") < F.col("y.at"), F.col("x.root") != F.col("y.root"), F.col("x.n") >= similarity * F.col("y.n")]
-    pairs = one.join(two, [*tile, *apart, _may("x", "y", similarity)]).select(F.greatest("x.h", "y.h").alias("a"), F.least("x.h", "y.h").alias("b"))
-    return written(pairs.distinct(), "line-pairs")
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    rooted = lists.filter("many > 2").join(groups, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = written(rooted.select("band", "id", "many", "root"), "line-rooted")
+    still = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+    chunks = F.ceil(F.col("many") / CHUNK).cast("int")
+    rooted = written(rooted.join(still, "band"), "line-rooted")
+    sets = rooted.select("id").distinct().join(texts, "id").select("id", _once(shingle_set(F.col("line")), "s"))
+    rows = rooted.join(_maps(sets), "id").select(
+        "band", "id", "root", "n", "map", F.floor(-F.log(F.col("n")) / F.log(F.lit(similarity))).cast("int").alias("class"),
+        F.pmod(F.xxhash64("id"), chunks).cast("int").alias("chunk"), F.sequence(F.lit(0), chunks - 1).alias("others"),
+    )
+    rows = written(rows, "line-open")
+    one = rows.select("band", "class", F.col("chunk").alias("i"), F.explode("others").alias("j"), "id", "root", "n", "map").alias("x")
+    # a line asks those of its own class with smaller ids, and all of the class below
+    classes = F.explode(F.array(*(F.struct((F.col("class") + k).alias("class"), F.lit(k == 0).alias("own")) for k in (0, 1)))).alias("c")
+    two = rows.select("band", classes, F.col("chunk").alias("j"), "others", "id", "root", "n", "map")
+    two = two.select("band", "c.*", F.explode("others").alias("i"), "j", "id", "root", "n", "map").alias("y")
+    tile = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "class", "i", "j")]
+    apart = [F.col("x.root") != F.col("y.root"), ~F.col("y.own") | (F.col("y.id") < F.col("x.id"))]
+    pairs = one.join(two, [*tile, *apart, _may(similarity)])
+    return written(pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), "line-pairs")
+
+
+def _small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` marked for broadcast if its rows, of ``row_bytes`` each, are few; joins move the other side else."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
 def duplicate_lines(docs: DataFrame, key: str, similarity: float = SIMILARITY) -> DataFrame:
-    """``key``, ``drops`` array<int>: of each row of ``docs`` (key, doc_id, text) that has any, the lines that go.
+    """``doc_id``, ``key``, ``drops`` array<int>: of each row of ``docs`` (key, doc_id, text) that has any, the lines that go.
 
     Lines are what stands between line feeds. Blank ones stay. Of equal and near lines the first stays, by doc_id (null
     last), then key, then place. Long lines are taken whole.
     """
-    lines = docs.select(F.col(key).alias("row"), "doc_id", F.posexplode_outer(lines_of(F.col("text"))).alias("place", "line"))
+    lines = docs.select(F.col(key).alias("row"), "doc_id", F.posexplode(lines_of(F.col("text"))).alias("place", "line"))
     lines = lines.filter(F.col("line").rlike(r"\S"))
-    # One pass over the texts: where each line is, its hash, and its signature; the texts stay behind.
-    signature = let(shingle_set(F.col("line")), lambda s: F.struct(F.size(s).alias("n"), _bands(s).alias("bands")))
-    signed = lines.select("row", "doc_id", "place", F.xxhash64("line").alias("h"), signature.alias("s"))
-    signed = written(signed, "line-signatures")
-    places = signed.select("row", "doc_id", "place", "h")
-    # The first of each kind of equal lines, which speaks for all.
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "place")
-    kinds = signed.groupBy("h").agg(F.min(rank).alias("first"), F.count("*").alias("many"), F.first("s").alias("s"))
-    kinds = written(kinds.select("h", "many", "first.doc_id", "first.row", "first.place", "s"), "kinds")
-
-    banded = kinds.select("h", F.col("s.n").alias("n"), F.explode_outer("s.bands").alias("band")).filter("band IS NOT NULL")
-    kinds = kinds.drop("s")
-    bucket = Window.partitionBy("band").orderBy("n", "h")
-    seen = F.array(F.first(F.struct("h", "n")).over(bucket), *(F.lag(F.struct("h", "n"), i).over(bucket) for i in range(1, LOOK_BACK + 1)))
-    many = F.count("*").over(bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    lists = banded.select("*", seen.alias("seen"), many.alias("many"), (F.row_number().over(bucket) - 1).alias("at")).filter("many > 1")
-    lists = written(lists, "line-lists")
-    pairs = lists.select(F.col("h").alias("a"), "n", F.explode(F.array_distinct("seen")).alias("p"))
-    pairs = pairs.filter((F.col("a") != F.col("p.h")) & (F.col("p.n") >= similarity * F.col("n")))
-    pairs = pairs.select(F.greatest("a", "p.h").alias("a"), F.least("a", "p.h").alias("b")).distinct()
-    pairs = written(pairs, "line-pairs")
-
-    # The lines that are in a pair and their bitmaps, from the documents that hold them first.
-    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct().join(kinds, "h").select("h", "row", "place")
-    wanted = written(wanted, "line-wanted")
-    holders = wanted.groupBy(F.col("row").alias("_holder")).agg(F.map_from_entries(F.collect_list(F.struct("place", "h"))).alias("at"))
-    held = docs.select(F.col(key).alias("row"), "text").join(_small(written(holders, "line-holders")), F.col("row") == F.col("_holder"))
-    each = held.select("at", F.posexplode(lines_of(F.col("text"))).alias("place", "line")).withColumn("h", F.try_element_at("at", F.col("place")))
-    each = each.filter(F.col("h").isNotNull()).dropDuplicates(["h"])
-    each = each.select("h", "line", let(shingle_set(F.col("line")), lambda s: F.struct(F.size(s).alias("n"), _map(s).alias("map"))).alias("s"))
-    texts = written(each.select("h", "line", "s.n", "s.map"), "line-texts")
-    maps = texts.select("h", "n", "map")
-
-    both = pairs.join(maps.alias("x"), F.col("a") == F.col("x.h")).join(maps.alias("y"), F.col("b") == F.col("y.h"))
-    near = _near(written(both.filter(_may("x", "y", similarity)).select("a", "b"), "line-pairs"), texts, similarity)
+    # A row for each kind of equal lines, numbered as written, so that numbers stay.
+    kinds = written(_signatures(lines).withColumn("id", F.monotonically_increasing_id()), "line-kinds")
+    banded = kinds.select("id", F.explode(_bands(F.col("slots"), F.col("least"))).alias("band")).filter("band IS NOT NULL")
+    firsts = banded.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("many")).filter("first < last")
+    lists = written(banded.join(firsts.drop("last"), "band"), "line-lists")
+
+    pairs = lists.filter("id > first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    both = pairs.join(kinds.select("id", "slots").alias("x"), F.col("a") == F.col("x.id")).join(kinds.select("id", "slots").alias("y"), F.col("b") == F.col("y.id"))
+    pairs = written(both.filter(_alike()).select("a", "b"), "line-pairs")
+
+    # The texts of lines that are verified or whose bucket holds more than two.
+    ids = lists.filter("many > 2").select("id").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    wanted = written(ids.join(kinds, "id").select("id", F.col("h").alias("_h"), F.col("h2").alias("_h2")), "line-wanted")
+    hashed = lines.select("line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    texts = hashed.join(_small(wanted, 64), (F.col("h") == F.col("_h")) & (F.col("h2") == F.col("_h2"))).select("id", "line")
+    texts = written(texts.dropDuplicates(["id"]), "line-texts")
+
+    near = _near(pairs, texts, similarity)
     groups = written(components(near), "line-groups")
-    near = _near(_across(lists, groups, maps, similarity), texts, similarity)
+    near = _near(_across(lists, groups, texts, similarity), texts, similarity)
     groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(near))
 
-    # One line of each component: the first of the first lines of its kinds.
-    kind = kinds.join(groups, kinds.h == groups.node, "left").withColumn("root", F.coalesce("root", "h")).drop("node")
-    stay = kind.groupBy("root").agg(F.min(rank).alias("stay"), F.sum("many").alias("all")).filter(F.col("all") > 1)
-    stay = kind.select("h", "root").join(stay, "root").select("h", F.col("stay.row").alias("stay_row"), F.col("stay.place").alias("stay_place"))
-    gone = places.join(stay, "h").filter((F.col("row") != F.col("stay_row")) | (F.col("place") != F.col("stay_place")))
-    return written(gone.groupBy("row").agg(F.collect_set("place").alias("drops")).withColumnRenamed("row", key), "line-drops")
+    # One line of each component stays: the first of all its kinds' lines.
+    kind = kinds.join(groups, kinds.id == groups.node, "left").filter(F.col("root").isNotNull() | (F.col("many") > 1))
+    kind = written(kind.select(F.col("h").alias("_h"), F.col("h2").alias("_h2"), F.coalesce("root", "id").alias("root")), "line-repeated")
+    slim = lines.select("row", "doc_id", "place", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    slim = slim.join(_small(kind, 64), (F.col("h") == F.col("_h")) & (F.col("h2") == F.col("_h2")))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "place")
+    repeats = written(slim.select("root", rank.alias("rank")), "line-repeats")
+    stay = repeats.groupBy("root").agg(F.min("rank").alias("stay"))
+    gone = repeats.join(stay, "root").filter(F.col("rank") != F.col("stay"))
+    drops = gone.groupBy("rank.doc_id", "rank.row").agg(F.collect_set("rank.place").alias("drops"))
+    return written(drops.withColumnRenamed("row", key), "line-drops")
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -159,11 +205,12 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     of ``docs`` with the added names are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    key, drops, has = spare(docs, "_line_key", "_drops", "_has")
+    key, drops, has, doc = spare(docs, "_line_key", "_drops", "_has", "_has_doc")
     own = quoted(docs)
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    gone = duplicate_lines(keyed.select(key, "doc_id", "text"), key, similarity).withColumnsRenamed({"drops": drops, key: has})
-    out = keyed.join(_small(gone), F.col(key) == F.col(has), "left")
+    gone = duplicate_lines(keyed.select(key, "doc_id", "text"), key, similarity)
+    gone = gone.select(F.col("doc_id").alias(doc), F.col(key).alias(has), F.col("drops").alias(drops))
+    out = keyed.join(_small(gone, 200), (F.col(key) == F.col(has)) & F.col("doc_id").eqNullSafe(F.col(doc)), "left")
     lines = lines_of(F.col("text"))
     kept = let(lines, lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(drops)), lambda i: F.get(ls, i)), "\n"))
     text = F.when(F.col(drops).isNull(), F.col("text")).otherwise(kept)

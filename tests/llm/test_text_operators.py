@@ -118,7 +118,10 @@ def test_next_document(spark, odd):
 
 # ---- lines ---------------------------------------------------------------------------------------------------------
 
-SHINGLE = re.compile(line_dedup.SHINGLE)
+def plain_shingles(line):
+    """Runs of 12 characters from every place; a shorter line is one."""
+    x = line.lower()
+    return {x[i : i + 12] for i in range(max(len(x) - 11, 1))}
 
 
 def brute_lines(rows, similarity=0.75):
@@ -128,7 +131,7 @@ def brute_lines(rows, similarity=0.75):
             if WORDS.search(line):
                 lines.append(line)
                 where.append((i, j))
-    sets = [{m.group(1) for m in SHINGLE.finditer(x.lower())} for x in lines]
+    sets = [plain_shingles(x) for x in lines]
     g = Groups()
     for a in range(len(lines)):
         g.find(a)
@@ -164,10 +167,11 @@ def test_lines_against_brute_force(spark, docs):
 
 
 def hot_lines(rng, pairs=30):
-    """Texts in no order, each with a near copy, that share the bands of five 12-character words of least hash."""
+    """Texts in no order, each with a near copy, that share the bands of five words whose opened shingles have the least hash."""
     letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
-    words = {"".join(w) for w in rng.choice(letters, (50_000, 12))}
+    words = {"".join(w) for w in rng.choice(letters, (50_000, 11))}
     common = sorted(words, key=lambda w: struct.unpack("q", struct.pack("Q", xxhash.xxh64_intdigest(w.encode(), 42))))[:5]
+    common = ["b" + w for w in common]
     out = []
     for _ in range(pairs):
         own = ["".join(w) for w in rng.choice(letters, (25, 8))]
@@ -187,14 +191,39 @@ def test_near_lines_apart_in_a_hot_bucket(spark, docs, monkeypatch, chunk):
 def test_shingles_start_at_every_character(spark, docs):
     lines = ["2024-05-01T10:22:31Z INFO job finished ok", "2024-05-01T11:59:31Z INFO job finished ok", "Short", "", "é🙂" * 9, "x" * 40]
     got = spark.createDataFrame(list(enumerate(lines)), "k int, line string").select("k", line_dedup.shingle_set(F.col("line")).alias("s")).collect()
-    plain = lambda x: {x[i : i + 12] for i in range(max(len(x) - 11, min(len(x), 1)))}
-    signed = lambda x: struct.unpack("q", struct.pack("Q", xxhash.xxh64_intdigest(x.encode(), 42)))[0]
-    assert {r.k: r.s for r in got} == {k: sorted(map(signed, plain(x.lower()))) for k, x in enumerate(lines)}
+    signed = lambda x: struct.unpack("q", struct.pack("Q", xxhash.xxh64_intdigest(x.encode("utf-32-be"), 42)))[0]
+    assert {r.k: sorted(r.s) for r in got} == {k: sorted(map(signed, plain_shingles(x))) for k, x in enumerate(lines)}
     long = "".join(np.random.default_rng(3).choice(list("0123456789abcdef"), 300))
     rows = [(i, x) for i, x in enumerate([*lines[:2], long, "#" + long])]
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(rows)).collect()} == {0: lines[0], 1: lines[1], 2: long, 3: ""}
 
 
+@pytest.mark.parametrize("bases, variants, words, changed", [(8, 60, 20, 1), (6, 80, 30, 2)])
+def test_many_variants_of_a_line(spark, docs, bases, variants, words, changed):
+    rng = np.random.default_rng(words)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    word = lambda: "".join(rng.choice(letters, int(rng.integers(3, 9))))
+    rows = []
+    for _ in range(bases):
+        base = [word() for _ in range(words)]
+        for _ in range(variants):
+            own = list(base)
+            for at in rng.integers(0, words, changed):
+                own[at] = word()
+            rows.append(" ".join(own))
+    rows = list(enumerate(rows[i] for i in rng.permutation(len(rows))))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(rows)).collect()}
+    assert got == brute_lines(rows)
+
+
+def test_lines_that_differ_late_in_long_words_or_are_shifted(spark, docs):
+    rng = np.random.default_rng(9)
+    japanese = "".join(chr(0x3041 + int(i)) for i in rng.integers(0, 80, 38))
+    rows = [(1, "customer-id-0001 transaction-0001"), (2, "customer-id-0999 transaction-0777"), (3, japanese), (4, "「" + japanese), (5, "x" * 70_000)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(rows)).collect()}
+    assert got == brute_lines(rows) and got[2] and got[3] and not got[4]
+
+
 def test_lines_of_one_shingle(spark, docs):
     rows = [(1, "Unsubscribe"), (2, "UNSUBSCRIBE"), (3, "unsubscribed\nok"), (4, "OK")]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(rows)).collect()}

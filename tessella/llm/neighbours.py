@@ -1,18 +1,18 @@
 """Nearest neighbours by a block matrix join over int8 tiles, exact.
 
-Query and candidate vectors are packed into blocks; a grid pairs every query group with every candidate
-group, so that each side is replicated once per group of the other and no single row meets a single row.
-In a tile, int8 codes are multiplied as matrices. Each vector carries the length of what quantisation left
-out, so by the triangle inequality the distance of the codes gives a lower and an upper bound of the true
-distance. Pairs whose lower bound exceeds the query's k-th smallest upper bound go; the others are computed
-again in double precision from the original vectors. Each task keeps a heap of k pairs per query, and
-the heaps of a query are merged at the end.
+Vectors become int8 codes with a scale and the length of what quantisation left out. Codes of queries and candidates are
+packed into blocks; a grid pairs every query group with every candidate group, so that each side is replicated once per
+group of the other and no single row meets a single row; the original vectors stay behind. In a tile the codes are
+multiplied as matrices, and by the triangle inequality give a lower and an upper bound of each distance. Pairs whose lower
+bound exceeds the query's k-th smallest upper bound in the tile go; for the others the original vectors are joined by row and
+the distance is computed in double precision. The heaps of k pairs that each partition keeps are merged by query.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,8 +29,8 @@ GROUP = 64
 #: Codes run from -127 to 127; float32 adds their products exactly up to this many dimensions.
 EXACT_DIM = 1 << 24 >> 14
 
-PACKED = "side string, dim int, grp long, n int, ids binary, vectors binary"
-FOUND = "query_id long, vec_id long, score double"
+PACKED = "side string, dim int, grp long, n int, rows binary, ids binary, codes binary, scales binary, errors binary"
+FOUND = "q long, c long"
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -44,114 +44,128 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return own.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
 
 
+def _codes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """int8 codes, their scales, and the lengths of the errors."""
+    scale = np.abs(v).max(axis=1) / 127
+    scale[scale == 0] = 1  # subnormal vectors: all codes are 0, the error is the vector
+    codes = np.rint(v / scale[:, None]).astype(np.int8)
+    return codes, scale, np.sqrt(((v - scale[:, None] * codes.astype(np.float64)) ** 2).sum(axis=1))
+
+
 def _pack(side: str, groups: int):
-    """Pack a partition's vectors into blocks of one dimension, dealt over ``groups`` groups."""
+    """Code a partition's vectors (row, id, v) and pack them into blocks of one dimension, dealt over ``groups`` groups."""
+    schema = pa.schema([("side", pa.string()), ("dim", pa.int32()), ("grp", pa.int64()), ("n", pa.int32()), *((c, pa.binary()) for c in ("rows", "ids", "codes", "scales", "errors"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[int, tuple[list, list, list]] = {}
 
         def block(dim: int) -> pa.RecordBatch:
-            ids, vs = held.pop(dim)
-            ids = np.array(ids, dtype=np.int64)
-            grp = int((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) % np.uint64(groups))
-            cells = {"side": [side], "dim": [dim], "grp": [grp], "n": [len(ids)], "ids": [ids.tobytes()], "vectors": [np.array(vs, dtype=np.float64).tobytes()]}
-            return pa.RecordBatch.from_pydict(cells, schema=pa.schema([("side", pa.string()), ("dim", pa.int32()), ("grp", pa.int64()), ("n", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())]))
+            rows, ids, vs = held.pop(dim)
+            rows = np.array(rows, dtype=np.int64)
+            grp = int((rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) % np.uint64(groups))
+            parts = (rows, np.array(ids, dtype=np.int64), *_codes(np.array(vs, dtype=np.float64)))
+            cells = [side, dim, grp, len(rows), *(x.tobytes() for x in parts)]
+            return pa.RecordBatch.from_pydict({f.name: [c] for f, c in zip(schema, cells, strict=True)}, schema=schema)
 
         for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, vs = held.setdefault(len(v), ([], []))
-                ids.append(i)
-                vs.append(v)
-                if len(ids) == BLOCK:
-                    yield block(len(v))
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts = held.setdefault(len(row[2]), ([], [], []))
+                for part, x in zip(parts, row, strict=True):
+                    part.append(x)
+                if len(parts[0]) == BLOCK:
+                    yield block(len(row[2]))
         for dim in list(held):
             yield block(dim)
 
     return run
 
 
-def _codes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes, their scales, the squared lengths of the coded vectors, and the lengths of the errors."""
-    scale = np.abs(v).max(axis=1) / 127
-    scale[scale == 0] = 1  # subnormal vectors: all codes are 0, the error is the vector
-    codes = np.rint(v / scale[:, None]).astype(np.int8)
-    exact = codes.astype(np.float64)
-    return codes, scale, scale**2 * (exact**2).sum(axis=1), np.sqrt(((v - scale[:, None] * exact) ** 2).sum(axis=1))
+@dataclass
+class Coded:
+    """A block of codes: the vectors' rows and ids, codes, scales, error lengths, and squared lengths of what the codes stand for."""
+
+    rows: np.ndarray
+    ids: np.ndarray
+    codes: np.ndarray
+    scales: np.ndarray
+    errors: np.ndarray
 
+    @classmethod
+    def of(cls, block) -> Coded:
+        longs, doubles = (lambda x: np.frombuffer(x, dtype=np.int64)), (lambda x: np.frombuffer(x, dtype=np.float64))
+        codes = np.frombuffer(block.codes, dtype=np.int8).reshape(block.n, block.dim)
+        return cls(longs(block.rows), longs(block.ids), codes, doubles(block.scales), doubles(block.errors))
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise Euclidean distances, the squares added in order of the components."""
-    total = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        total += (a[:, j] - b[:, j]) ** 2
-    return np.sqrt(total)
+    @property
+    def squares(self) -> np.ndarray:
+        return self.scales**2 * (self.codes.astype(np.float64) ** 2).sum(axis=1)
 
 
-def _tile(qi: np.ndarray, q: np.ndarray, ci: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs of a tile that can be among the k nearest of a query: rows of q, rows of c, distances."""
-    qc, qs, qn, qe = _codes(q)
-    cc, cs, cn, ce = _codes(c)
-    kind = np.float32 if q.shape[1] <= EXACT_DIM else np.float64
-    product = (qc.astype(kind) @ cc.astype(kind).T).astype(np.float64)
-    coded = np.sqrt(np.maximum(qn[:, None] + cn[None, :] - 2 * qs[:, None] * cs[None, :] * product, 0))
+def _bounds(q: Coded, c: Coded) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of all distances of a tile; infinite between rows of one id."""
+    kind = np.float32 if q.codes.shape[1] <= EXACT_DIM else np.float64
+    product = (q.codes.astype(kind) @ c.codes.astype(kind).T).astype(np.float64)
+    qn, cn = q.squares, c.squares
+    coded = np.sqrt(np.maximum(qn[:, None] + cn[None, :] - 2 * q.scales[:, None] * c.scales[None, :] * product, 0))
     # What the few roundings of this formula can add up to.
-    slack = qe[:, None] + ce[None, :] + 1e-7 * (np.sqrt(qn)[:, None] + np.sqrt(cn)[None, :])
-    own = qi[:, None] == ci[None, :]
-    upper = np.where(own, np.inf, coded + slack)
-    if len(np.unique(ci)) < len(ci) or upper.shape[1] <= k:
-        keep = ~own  # rows that share an id must not crowd out others
-    else:
-        keep = (coded - slack <= np.partition(upper, k - 1, axis=1)[:, k - 1 : k]) & ~own
-    rows, cols = np.nonzero(keep)
-    return rows, cols, _distances(q[rows], c[cols])
+    slack = q.errors[:, None] + c.errors[None, :] + 1e-7 * (np.sqrt(qn)[:, None] + np.sqrt(cn)[None, :])
+    own = q.ids[:, None] == c.ids[None, :]
+    return np.where(own, np.inf, coded - slack), np.where(own, np.inf, coded + slack)
+
+
+def _survivors(lower: np.ndarray, upper: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the pairs that can be among the k nearest of a query."""
+    edge = np.partition(upper, k - 1, axis=1)[:, k - 1 : k] if upper.shape[1] > k else np.full((len(upper), 1), np.inf)
+    return np.nonzero((lower <= edge) & np.isfinite(lower))
+
+
+def _search(k: int):
+    def run(blocks: pd.DataFrame) -> pd.DataFrame:
+        sides = {side: [Coded.of(b) for b in part.itertuples()] for side, part in blocks.groupby("side")}
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for q in sides.get("q", ()):
+            kept = [], [], [], []
+            for c in sides.get("c", ()):
+                lower, upper = _bounds(q, c)
+                at, to = _survivors(lower, upper, k)
+                for part, x in zip(kept, (at, c.rows[to], lower[at, to], upper[at, to]), strict=True):
+                    part.append(x)
+            if not kept[0]:
+                continue
+            at, rows, lower, upper = map(np.concatenate, kept)
+            # The group's k-th smallest upper bound of each query.
+            order = np.lexsort((upper, at))
+            first = np.searchsorted(at[order], np.arange(len(q.rows) + 1))
+            last = np.minimum(first[:-1] + k - 1, first[1:] - 1)
+            edge = np.where(np.diff(first) >= k, upper[order][np.maximum(last, 0)] if len(order) else np.inf, np.inf)
+            stay = lower <= edge[at]
+            found.append((q.rows[at[stay]], rows[stay]))
+        return pd.DataFrame({"q": np.concatenate([f[0] for f in found]), "c": np.concatenate([f[1] for f in found])})
+
+    return run
 
 
 class _Heaps:
-    """The k nearest of each query: candidates by id, the smallest distance of each, ties to the smaller id."""
+    """The k nearest of each query, a row each; ties to the smaller id."""
 
     def __init__(self, k: int):
         self.k, self.kept = k, {}
 
     def add(self, query: int, ids, scores) -> None:
-        best = self.kept.setdefault(query, {})
-        for i, s in zip(ids, scores, strict=True):
-            if s < best.get(i, np.inf):
-                best[i] = s
+        best = self.kept.setdefault(query, [])
+        best += zip(scores, ids, strict=True)
         if len(best) > 4 * self.k:
-            self.kept[query] = dict(self.nearest(query))
+            self.kept[query] = self.nearest(query)
 
-    def nearest(self, query: int) -> list[tuple[int, float]]:
-        return heapq.nsmallest(self.k, self.kept[query].items(), key=lambda x: (x[1], x[0]))
+    def nearest(self, query: int) -> list[tuple[float, int]]:
+        return heapq.nsmallest(self.k, self.kept[query])
 
     def rows(self) -> Iterator[tuple[int, int, int, float]]:
         for query in self.kept:
-            for rank, (i, s) in enumerate(self.nearest(query), 1):
+            for rank, (s, i) in enumerate(self.nearest(query), 1):
                 yield query, rank, i, s
 
 
-def _arrays(block) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(block.ids, dtype=np.int64), np.frombuffer(block.vectors, dtype=np.float64).reshape(block.n, block.dim)
-
-
-def _search(k: int):
-    def run(blocks: pd.DataFrame) -> pd.DataFrame:
-        sides = {side: list(part.itertuples()) for side, part in blocks.groupby("side")}
-        heaps = _Heaps(k)
-        for qb in sides.get("q", ()):
-            qi, q = _arrays(qb)
-            for cb in sides.get("c", ()):
-                ci, c = _arrays(cb)
-                rows, cols, scores = _tile(qi, q, ci, c, k)
-                for r in range(len(qi)):
-                    a, b = np.searchsorted(rows, (r, r + 1))
-                    near = np.lexsort((ci[cols[a:b]], scores[a:b]))
-                    heaps.add(int(qi[r]), ci[cols[a:b]][near].tolist(), scores[a:b][near].tolist())
-        out = [(q, i, s) for q, _, i, s in heaps.rows()]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    return run
-
-
 def _merge(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps = _Heaps(k)
@@ -172,19 +186,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     """``query_id``, ``rank`` from 1, ``vec_id``, ``score``: each query's k nearest by Euclidean distance.
 
     Candidates are all usable rows with another id than the query's and as many components; all of them,
-    if fewer than k. Ties go to the smaller id. Rows that share an id count as one vector at the smallest of
-    their distances. Queries that are not usable, or have no candidate, give no rows. Other columns are left out.
+    if fewer than k. Ties go to the smaller id. Each row counts: rows that share an id are candidates of their own, and
+    query rows that share an id are one query with the candidates of all. Queries that are not usable, or have no
+    candidate, give no rows. Other columns are left out.
     """
-    q, c = usable(queries, id_col, vector_col), usable(vectors, id_col, vector_col)
+    # Numbered as written, so that numbers stay.
+    numbered = lambda df, name: written(usable(df, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), name).select("row", "id", "v")
+    q, c = numbered(queries, "queries"), numbered(vectors, "candidates")
     blocks_q, blocks_c = (max(1, -(-df.count() // BLOCK)) for df in (q, c))
     many_q, many_c = -(-blocks_q // GROUP), max(-(-blocks_c // GROUP), min(blocks_c, vectors.sparkSession.sparkContext.defaultParallelism))
-    q = written(q.repartition(many_q).mapInArrow(_pack("q", many_q), PACKED), "queries")
-    c = written(c.mapInArrow(_pack("c", many_c), PACKED), "candidates")
+    packed_q = written(q.repartition(many_q).mapInArrow(_pack("q", many_q), PACKED), "query-codes")
+    packed_c = written(c.mapInArrow(_pack("c", many_c), PACKED), "candidate-codes")
     fan = lambda df, n, own, other: df.withColumn(own, F.col("grp")).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    tiles = fan(q, many_c, "qg", "cg").unionByName(fan(c, many_q, "cg", "qg"))
+    tiles = fan(packed_q, many_c, "qg", "cg").unionByName(fan(packed_c, many_q, "cg", "qg"))
     found = tiles.groupBy("dim", "qg", "cg").applyInPandas(_search(k), FOUND)
+    # The original vectors of what is left, by row.
+    both = found.join(c.select(F.col("row").alias("c"), F.col("id").alias("vec_id"), F.col("v").alias("cv")), "c")
+    both = both.join(q.select(F.col("row").alias("q"), F.col("id").alias("query_id"), F.col("v").alias("qv")), "q")
+    squares = F.aggregate(F.zip_with("qv", "cv", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, x: total + x)
+    scored = both.select("query_id", "vec_id", F.sqrt(squares).alias("score"))
     parts = max(1, min(many_q * 8, 100_000))
-    return found.repartition(parts, "query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
+    return scored.repartition(parts, "query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
 
 
 def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,8 @@ CYCLE = (5.0, 2.0, 1.0)
 #: Blocks behind the prefix whose documents are looked at one by one, and passes that fill what is left with them.
 EDGE = 8
 PASSES = 6
+#: Balls of a kind below which the generator draws exactly.
+LIMIT = 1_000_000_000
 #: Rows of chosen documents up to which they are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -72,12 +74,9 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> in
         return 0
     if bad == 0:
         return n
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n))
-    # Beyond what the generator takes: the normal law with the same mean and variance, within its support.
-    p, total = good / (good + bad), good + bad
-    sd = math.sqrt(n * p * (1 - p) * (total - n) / (total - 1))
-    return int(min(good, n, max(0, n - bad, round(rng.normal(n * p, sd)))))
+    if max(good, bad) >= LIMIT:  # that many blocks of sqrt(n) documents are beyond any corpus
+        raise ValueError(f"{good + bad} blocks are more than can be drawn from exactly")
+    return int(rng.hypergeometric(good, bad, n))
 
 
 def _step(n: int, key: int) -> int:
@@ -140,9 +139,10 @@ def mix(
         "s int, nb long, full int, room double, steps array<long>, shifts array<long>",
     )
     order = Window.partitionBy("s").orderBy("r")
-    ranked = table.join(F.broadcast(plan), "s").withColumn("r", rank(F.col("full"))).select("s", "b", "r", "words", "room")
+    ranked = table.join(F.broadcast(plan), "s").withColumn("r", rank(F.col("full"))).select("s", "b", "r", "words", "room", "full")
     ranked = ranked.withColumn("sum", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    edge = ranked.filter(F.col("sum") > F.col("room")).groupBy("s").agg(
+    # Sources that come max_epochs times are full: not even their documents without words come again.
+    edge = ranked.filter((F.col("sum") > F.col("room")) & (F.col("full") < max_epochs)).groupBy("s").agg(
         F.min_by(F.struct("r", (F.col("room") - F.col("sum") + F.col("words")).alias("left")), "r").alias("at")
     )
     cut = {r.s: (r["at"].r, r["at"].left) for r in edge.collect()}
@@ -150,7 +150,7 @@ def mix(
 
     # Documents of the blocks at the edge, in the order of their hash, as far as there is room; again with what is left.
     edges = spark.createDataFrame([(i, r, left) for i, (r, left) in cut.items()], "s int, first long, room double")
-    edges = ranked.drop("room").join(F.broadcast(edges), "s").filter(F.col("r").between(F.col("first"), F.col("first") + EDGE - 1))
+    edges = ranked.drop("room", "full").join(F.broadcast(edges), "s").filter(F.col("r").between(F.col("first"), F.col("first") + EDGE - 1))
     rows = slim.join(F.broadcast(edges.select("s", "b", "room")), ["s", "b"]).groupBy("s", key).agg(F.sum("mix_size").alias("w"), F.first("room").alias("room"))
     rows = rows.withColumn("taken", F.lit(False))
     order, whole = Window.partitionBy("s").orderBy(key), Window.partitionBy("s")

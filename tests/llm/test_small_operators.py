@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,7 @@ def test_mix_meets_targets_and_reruns_agree(spark, docs):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), f"s{int(rng.integers(0, 4))}") for i in range(1500)]
     rows += [(2000 + i, "v " * 3, None) for i in range(20)]
+    rows += [(3000 + i, "" if i % 2 else None, None) for i in range(20)]  # without words, of a source that is taken three times
     df = docs(rows)
     out = mixing.mix(df).select("doc_id", "source", "mix_size", "mix_target", "mix_copies").collect()
     by = {}
@@ -74,6 +76,11 @@ def test_mix_meets_targets_and_reruns_agree(spark, docs):
     assert shards <= set(range(64))
 
 
+def test_draws_beyond_the_generator_are_refused():
+    with pytest.raises(ValueError):
+        mixing.split(np.array([3 * 10**9, 5]), 2, np.random.default_rng(1))
+
+
 def test_mix_of_odd_rows(spark, odd):
     df = odd.withColumns({"mix_size": F.lit("mine"), "s": F.lit(1), "_mix_key": F.lit(2)})
     out = mixing.mix(df)
@@ -96,13 +103,8 @@ def brute(rows, queries, k):
     out = {}
     for q, v in good:
         if q in queries:
-            near = {}
-            for c, w in good:
-                if c != q and len(w) == len(v):
-                    near[c] = min(near.get(c, np.inf), float(np.sqrt(((v - w) ** 2).sum())))
-            for c, s in near.items():
-                out.setdefault(q, {})[c] = min(out.get(q, {}).get(c, np.inf), s)
-    return {q: sorted(n.items(), key=lambda x: (x[1], x[0]))[:k] for q, n in out.items()}
+            out.setdefault(q, []).extend((c, float(np.sqrt(((v - w) ** 2).sum()))) for c, w in good if c != q and len(w) == len(v))
+    return {q: sorted(n, key=lambda x: (x[1], x[0]))[:k] for q, n in out.items() if n}
 
 
 def test_neighbours_against_brute_force(spark):
@@ -123,15 +125,29 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_against_the_sql(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0, 0.0], 0), (1, [1.0, 0.1], 0), (1, [1.0, 0.2], 0), (2, [0.0, 5.0], 0), (100, [3.0, 1.0], 0), (100, [2.0, 1.0], 0), (None, [1.0, 1.0], 0)]
+    rows += [(int(i), rng.normal(size=2).astype(np.float32).tolist(), 0) for i in rng.integers(0, 300, 400)]
+    vectors(spark, rows).withColumnsRenamed({"label": "v"}).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = neighbours.op9_nearest_vectors(spark, str(tmp_path))
+    assert got.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(neighbours.OP9_SQL).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(8)
     q, c = rng.normal(size=(7, 24)) * 100, rng.normal(size=(50, 24))
-    rows, cols, scores = neighbours._tile(np.arange(7), q, np.arange(100, 150), c, 3)
+    coded = lambda v, base: neighbours.Coded(np.arange(len(v)), np.arange(base, base + len(v)), *neighbours._codes(v))
+    lower, upper = neighbours._bounds(coded(q, 0), coded(c, 100))
     full = np.sqrt(((q[:, None] - c[None]) ** 2).sum(axis=2))
+    assert (lower <= full).all() and (full <= upper).all()
+    rows, cols = neighbours._survivors(lower, upper, 3)
     for i in range(7):
-        kept = set(cols[rows == i])
-        assert set(np.argsort(full[i])[:3]) <= kept
-    assert np.allclose(full[rows, cols], scores)
+        assert set(np.argsort(full[i])[:3]) <= set(cols[rows == i])
 
 
 # ---- WARC ----------------------------------------------------------------------------------------------------------

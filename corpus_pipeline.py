@@ -39,8 +39,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix draws, repeats as rows of their own."""
-    return mixing.mixed_rows(mixing.mix(docs)).select(*quoted(docs))
+    """The documents that the mix draws, repeats as rows of their own, written shard by shard in the shuffled order."""
+    return mixing.shuffled(mixing.mix(docs)).select(*quoted(docs))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -200,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_pool:
     """The model from ``docs`` (doc_id, text, lang, source) and ``labels`` (doc_id, quality).
 
     Features are made where the texts are; one task gathers them for at most ``max_fit`` labelled and ``max_pool``
-    other documents. Null ids and labels take no part, several labels of an id count as the smallest.
+    other documents, and no more rows in all. Null ids and labels take no part, several labels of an id count as the smallest.
     """
     small_batches(docs.sparkSession)
     own = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
@@ -216,6 +216,8 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_pool:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(cats.tolist(), pa.list_(pa.int64()))], ["doc_id", "y", "x", "c"])
 
     rows = written(sample.mapInArrow(released(featured), "doc_id long, y double, x array<double>, c array<long>"), "quality")
+    if rows.count() > max_fit + max_pool:  # ids that repeat
+        rows = written(rows.orderBy(F.xxhash64("doc_id", "x"), "doc_id").limit(max_fit + max_pool), "quality")
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         all_rows = pd.concat(list(batches))

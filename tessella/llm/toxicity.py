@@ -57,38 +57,31 @@ def _used(b: Block) -> tuple[np.ndarray, np.ndarray]:
     return (key & ((1 << BITS) - 1)).astype(np.int32), (key >> BITS).astype(np.int32)
 
 
-def fit(texts: list[pa.Array], labels: np.ndarray) -> Weights:
-    """The model from whole texts and their 0/1 labels."""
-    bags = []  # slots and sentence numbers of each text
-    for part in texts:
-        for b in blocks(part):
-            slot, sentence = _used(b)
-            of = np.searchsorted(b.sentences_of, sentence, side="right") - 1
-            cuts = np.searchsorted(of, np.arange(len(b.bounds)))
-            bags += [(slot[i:j], sentence[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+Bag = tuple[np.ndarray, np.ndarray]  # slots and the sentence of each, of one document
+
+
+def bags_of(texts: pa.Array) -> Iterator[Bag]:
+    for b in blocks(texts):
+        slot, sentence = _used(b)
+        of = np.searchsorted(b.sentences_of, sentence, side="right") - 1
+        cuts = np.searchsorted(of, np.arange(len(b.bounds)))
+        yield from ((slot[i:j], sentence[i:j]) for i, j in zip(cuts, cuts[1:], strict=False))
+
+
+def fit(bags: list[Bag], every: np.ndarray, labels: np.ndarray, known: np.ndarray, odds: np.ndarray) -> Weights:
+    """The model from documents' bags of the ``known`` slots (ascending, with their log-``odds``), counts of all sentences, and 0/1 labels."""
     y = labels.astype(np.float64)
     none = np.zeros(0, np.int32)
     if not len(y) or y.min() == y.max():
         return Weights(none, np.zeros(0), -20.0 if not len(y) or y[0] == 0 else 20.0)
-    docs = [np.unique(s) for s, _ in bags]
-    known, many = np.unique(np.concatenate(docs), return_counts=True)
-    toxic = np.concatenate([d for d, t in zip(docs, y, strict=True) if t == 1])
-    in_toxic = np.bincount(np.searchsorted(known, toxic), minlength=len(known))
-    odds = np.log((in_toxic + 0.5) / (y.sum() + 1)) - np.log((many - in_toxic + 0.5) / (len(y) - y.sum() + 1))
-    keep = (many >= MIN_DOCS) & (np.abs(odds) >= MIN_ODDS)
-    known, odds = known[keep], odds[keep]
     if not len(known):
         return Weights(none, np.zeros(0), float(np.log(y.mean() / (1 - y.mean()))))
     # Sentences that hold a kept feature; of the others of a document only the count matters, their score is the bias'.
     slots, rows, row_doc, plain, n = [], [], [], np.zeros(len(y)), 0
     for d, (slot, sentence) in enumerate(bags):
-        every = len(np.unique(sentence))
-        number = np.minimum(np.searchsorted(known, slot), len(known) - 1)
-        held = known[number] == slot
-        slot, sentence = number[held], sentence[held]
         kept, row = np.unique(sentence, return_inverse=True)
-        plain[d] = every - len(kept)
-        slots.append(slot)
+        plain[d] = every[d] - len(kept)
+        slots.append(np.searchsorted(known, slot))
         rows.append(row + n)
         row_doc.append(np.full(len(kept), d))
         n += len(kept)
@@ -126,27 +119,66 @@ def _scores(b: Block, model: Weights) -> np.ndarray:
     return np.clip(np.bincount(sentence, weights=model.of(slot), minlength=len(b.sentence)) + model.bias, -30, 30)
 
 
+BAGS = "doc_id long, key long, toxic int, every int, slots array<int>, sentences array<int>"
+
+
+def _bag_rows(ids: pa.Array, keys: pa.Array, toxic: pa.Array, every: list[int], bags: list[Bag]) -> pa.RecordBatch:
+    lists = [pa.array([b[k].tolist() for b in bags], pa.list_(pa.int32())) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([ids, keys, toxic, pa.array(every, pa.int32()), *lists], ["doc_id", "key", "toxic", "every", "slots", "sentences"])
+
+
 def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Weights:
-    """The model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), fitted in one task on at most ``max_fit`` rows.
+    """The model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), fitted on at most ``max_fit`` rows.
 
-    Null labels and ids take no part, several labels of an id count as the largest. Without any label, or with one kind
-    only, the model says that kind.
+    Features are made where the texts are and counted there; one task gathers only those that get a weight. Null labels
+    and ids take no part, several labels of an id count as the largest; of more than ``max_fit`` rows those with the
+    smallest hashes of id and text do. Without any label, or with one kind only, the model says that kind.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     own = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit)
-    sample = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id")
+    sample = sample.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("toxic").cast("int").alias("toxic"), "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, y = [], [np.zeros(0, np.int64)]
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = list(bags_of(batch.column(3)))
+            yield _bag_rows(*batch.columns[:3], [len(np.unique(b[1])) for b in bags], bags)
+
+    rows = written(sample.mapInArrow(released(featured), BAGS), "toxicity-features")
+    if rows.count() > max_fit:  # ids that repeat
+        rows = written(rows.orderBy("key", "doc_id").limit(max_fit), "toxicity-features")
+    of = rows.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).first()
+    toxic, n = of.toxic or 0, of.n
+    counts = rows.select("toxic", F.explode(F.array_distinct("slots")).alias("slot")).groupBy("slot").agg(F.count("*").alias("many"), F.sum("toxic").alias("hit"))
+    odds = F.log((F.col("hit") + 0.5) / (toxic + 1)) - F.log((F.col("many") - F.col("hit") + 0.5) / (n - toxic + 1))
+    told = counts.filter(F.col("many") >= MIN_DOCS).select("slot", odds.alias("odds")).filter(F.abs("odds") >= MIN_ODDS)
+    told = sorted((r.slot, r.odds) for r in told.collect())  # bounded by the sample
+    known, odds = np.array([t[0] for t in told], dtype=np.int32), np.array([t[1] for t in told])
+    held = spark.sparkContext.broadcast(known)
+
+    def told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = []
+            for slot, sentence in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                slot, sentence = np.array(slot, dtype=np.int32), np.array(sentence, dtype=np.int32)
+                keep = np.isin(slot, held.value)
+                bags.append((slot[keep], sentence[keep]))
+            yield _bag_rows(*batch.columns[:3], batch.column(3).to_pylist(), bags)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags, every, y = [], [], []
         for batch in batches:
-            texts.append(batch.column(1))
-            y.append(batch.column(2).to_numpy())
-        model = fit(texts, np.concatenate(y))
+            bags += [tuple(np.array(x, dtype=np.int32) for x in b) for b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            every += batch.column(3).to_pylist()
+            y += batch.column(2).to_pylist()
+        model = fit(bags, np.array(every), np.array(y, dtype=np.int64), held.value, odds)
         yield pa.RecordBatch.from_pydict({"slot": np.append(-1, model.slots).astype(np.int64), "weight": np.append(model.bias, model.weights)})
 
     # Sorted, so that a rerun adds in the same order.
-    model = written(sample.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(released(run), "slot long, weight double"), "toxicity")
+    kept = rows.mapInArrow(released(told_apart), BAGS).repartition(1).sortWithinPartitions("doc_id", "key")
+    model = written(kept.mapInArrow(released(fitted), "slot long, weight double"), "toxicity")
     rows = sorted((r.slot, r.weight) for r in model.collect()) or [(-1, -20.0)]
     return Weights(np.array([r[0] for r in rows[1:]], dtype=np.int32), np.array([r[1] for r in rows[1:]]), rows[0][1])
 
@@ -206,4 +238,5 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
         F.size("offending").alias("n_offending"),
+        "offending",
     )

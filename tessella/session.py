@@ -31,13 +31,16 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **more: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where neither that setting nor a checkpoint folder is set (as in tests) a temporary one is made.
+    Where neither that setting nor a checkpoint folder is set a local session (as in tests) gets a temporary one; on a
+    cluster that is an error, as its machines would not see each other's files.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else ""
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

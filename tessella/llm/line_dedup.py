@@ -1,6 +1,6 @@
 """Fuzzy line deduplication by MinHash, on DataFrame functions only.
 
-A line, lower-cased, is the set of its character shingles: the SHINGLE code points from each place; a shorter line is one
+A line, lower-cased, is the set of its character shingles: the SHINGLE UTF-16 units (characters, beyond the basic plane halves of them) from each place; a shorter line is one
 shingle. Shingles are rows that never leave their task: hashed in generated code, they fold into a row for each kind of
 equal lines (by two hashes), its MinHash signature: the smallest hash in each of SLOTS slots that the hash picks (one
 permutation). Two slots are a band; lines at the threshold share one with a probability of about 0.98, nearer ones almost
@@ -26,7 +26,7 @@ SIMILARITY = 0.75
 #: least, but for one pair in some 300.
 SLOTS, BANDS, ALIKE = 10, 5, 4
 #: Shingles of a line that its signature is the minima of, at least, if it has as many.
-KEPT = 64
+KEPT = 48
 #: Shingles up to which a line's smallest hash is a band, too.
 FEW = 12
 #: Words of the bitmaps that are compared in tiles, a power of two.
@@ -37,16 +37,16 @@ CHUNK = 256
 BROADCAST_BYTES = 32 << 20
 
 def _points(line: Column) -> Column:
-    """The lower-cased line in four bytes a code point: shingles are cut from any place without a search."""
-    return F.encode(F.lower(line), "UTF-32")
+    """The lower-cased line in two bytes a unit: shingles are cut from any place without a search."""
+    return F.encode(F.lower(line), "UTF-16BE")
 
 
 def _places(points: Column) -> Column:
-    return F.sequence(F.lit(0), F.greatest((F.length(points) / 4).cast("int") - SHINGLE, F.lit(0)))
+    return F.sequence(F.lit(0), F.greatest((F.length(points) / 2).cast("int") - SHINGLE, F.lit(0)))
 
 
 def _shingle(points: Column, place: Column) -> Column:
-    return F.xxhash64(F.substring(points, 4 * place + 1, F.lit(4 * SHINGLE)))
+    return F.xxhash64(F.substring(points, 2 * place + 1, F.lit(2 * SHINGLE)))
 
 
 def shingle_set(line: Column) -> Column:
@@ -71,7 +71,7 @@ def _signatures(lines: DataFrame) -> DataFrame:
     own = lines.select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), _points(F.col("line")).alias("points"))
     # A long line's shingles count if their leading zeros are as many as leave KEPT of them or more: of a smallest hash that stays
     # nothing changes, and lines of all lengths are comparable.
-    zeros = F.greatest(F.floor(F.log2(F.length("points") / (4 * KEPT))), F.lit(0)).cast("int")
+    zeros = F.greatest(F.floor(F.log2(F.length("points") / (2 * KEPT))), F.lit(0)).cast("int")
     rows = own.select("h", "h2", "points", (63 - zeros).alias("_bits"), F.explode(_places(F.col("points"))).alias("place"))
     rows = rows.select("h", "h2", "place", "_bits", F.shiftrightunsigned(_shingle(F.col("points"), F.col("place")), 1).alias("x"))
     rows = rows.filter((F.call_function("shiftright", F.col("x"), F.col("_bits")) == 0) | (F.col("place") == 0))
@@ -180,7 +180,11 @@ def duplicate_lines(docs: DataFrame, key: str, similarity: float = SIMILARITY) -
     texts = written(texts.dropDuplicates(["id"]), "line-texts")
 
     near = _near(pairs, texts, similarity)
-    groups = written(components(near), "line-groups")
+    # Of a line's firsts, BANDS + 1 at most, the least speaks for the others: fewer links, the same components.
+    hubs = near.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("bs"))
+    hubs = written(hubs, "line-hubs")
+    links = hubs.select("a", F.col("m").alias("b")).union(hubs.select(F.explode("bs").alias("a"), F.col("m").alias("b")).filter("a > b").distinct())
+    groups = written(components(links), "line-groups")
     near = _near(_across(lists, groups, texts, similarity), texts, similarity)
     groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(near))
 
@@ -192,7 +196,7 @@ def duplicate_lines(docs: DataFrame, key: str, similarity: float = SIMILARITY) -
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "place")
     repeats = written(slim.select("root", rank.alias("rank")), "line-repeats")
     stay = repeats.groupBy("root").agg(F.min("rank").alias("stay"))
-    gone = repeats.join(stay, "root").filter(F.col("rank") != F.col("stay"))
+    gone = repeats.join(_small(stay, 100), "root").filter(F.col("rank") != F.col("stay"))
     drops = gone.groupBy("rank.doc_id", "rank.row").agg(F.collect_set("rank.place").alias("drops"))
     return written(drops.withColumnRenamed("row", key), "line-drops")
 

@@ -119,9 +119,9 @@ def test_next_document(spark, odd):
 # ---- lines ---------------------------------------------------------------------------------------------------------
 
 def plain_shingles(line):
-    """Runs of 12 characters from every place; a shorter line is one."""
-    x = line.lower()
-    return {x[i : i + 12] for i in range(max(len(x) - 11, 1))}
+    """Runs of 12 UTF-16 units from every place; a shorter line is one."""
+    x = line.lower().encode("utf-16-be")
+    return {x[2 * i : 2 * i + 24] for i in range(max(len(x) // 2 - 11, 1))}
 
 
 def brute_lines(rows, similarity=0.75):
@@ -167,14 +167,14 @@ def test_lines_against_brute_force(spark, docs):
 
 
 def hot_lines(rng, pairs=30):
-    """Texts in no order, each with a near copy, that share the bands of five words whose opened shingles have the least hash."""
+    """Texts in no order, each with a near copy, that share the shingle of least hash in every slot of a band, and so that band."""
     letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
-    words = {"".join(w) for w in rng.choice(letters, (50_000, 11))}
-    common = sorted(words, key=lambda w: struct.unpack("q", struct.pack("Q", xxhash.xxh64_intdigest(w.encode(), 42))))[:5]
-    common = ["b" + w for w in common]
+    hashed = lambda w: xxhash.xxh64_intdigest(w.encode("utf-16-be"), 42) >> 1
+    words = sorted({"".join(w) for w in rng.choice(letters, (50_000, 12))}, key=hashed)
+    common = [next(w for w in words if hashed(w) % line_dedup.SLOTS == k) for k in range(2 * line_dedup.BANDS)]
     out = []
     for _ in range(pairs):
-        own = ["".join(w) for w in rng.choice(letters, (25, 8))]
+        own = ["".join(w) for w in rng.choice(letters, (60, 8))]
         out += [" ".join(common + own), " ".join(common + [*own[:20], "replaced", *own[21:]])]
     return [out[i] for i in rng.permutation(len(out))]
 
@@ -191,7 +191,7 @@ def test_near_lines_apart_in_a_hot_bucket(spark, docs, monkeypatch, chunk):
 def test_shingles_start_at_every_character(spark, docs):
     lines = ["2024-05-01T10:22:31Z INFO job finished ok", "2024-05-01T11:59:31Z INFO job finished ok", "Short", "", "é🙂" * 9, "x" * 40]
     got = spark.createDataFrame(list(enumerate(lines)), "k int, line string").select("k", line_dedup.shingle_set(F.col("line")).alias("s")).collect()
-    signed = lambda x: struct.unpack("q", struct.pack("Q", xxhash.xxh64_intdigest(x.encode("utf-32-be"), 42)))[0]
+    signed = lambda x: struct.unpack("q", struct.pack("Q", xxhash.xxh64_intdigest(x, 42)))[0]
     assert {r.k: sorted(r.s) for r in got} == {k: sorted(map(signed, plain_shingles(x))) for k, x in enumerate(lines)}
     long = "".join(np.random.default_rng(3).choice(list("0123456789abcdef"), 300))
     rows = [(i, x) for i, x in enumerate([*lines[:2], long, "#" + long])]

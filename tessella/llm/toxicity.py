@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,9 +123,11 @@ def _scores(b: Block, model: Weights) -> np.ndarray:
 BAGS = "doc_id long, key long, toxic int, every int, slots array<int>, sentences array<int>"
 
 
-def _bag_rows(ids: pa.Array, keys: pa.Array, toxic: pa.Array, every: list[int], bags: list[Bag]) -> pa.RecordBatch:
-    lists = [pa.array([b[k].tolist() for b in bags], pa.list_(pa.int32())) for k in (0, 1)]
-    return pa.RecordBatch.from_arrays([ids, keys, toxic, pa.array(every, pa.int32()), *lists], ["doc_id", "key", "toxic", "every", "slots", "sentences"])
+def _bag_rows(ids: pa.Array, keys: pa.Array, toxic: pa.Array, every: pa.Array, sizes: np.ndarray, slots: np.ndarray, sentences: np.ndarray) -> pa.RecordBatch:
+    """Rows of bags from the slots and sentences of all, ``sizes`` of each."""
+    offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (slots, sentences)]
+    return pa.RecordBatch.from_arrays([ids, keys, toxic, every, *lists], ["doc_id", "key", "toxic", "every", "slots", "sentences"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Weights:
@@ -144,7 +147,9 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Weights
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bags = list(bags_of(batch.column(3)))
-            yield _bag_rows(*batch.columns[:3], [len(np.unique(b[1])) for b in bags], bags)
+            every = pa.array([len(np.unique(b[1])) for b in bags], pa.int32())
+            slots, sentences = (np.concatenate([np.zeros(0, np.int32), *(b[k] for b in bags)]) for k in (0, 1))
+            yield _bag_rows(*batch.columns[:3], every, np.array([len(b[0]) for b in bags], dtype=np.int64), slots, sentences)
 
     rows = written(sample.mapInArrow(released(featured), BAGS), "toxicity-features")
     if rows.count() > max_fit:  # ids that repeat
@@ -159,13 +164,13 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Weights
     held = spark.sparkContext.broadcast(known)
 
     def told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held.value
         for batch in batches:
-            bags = []
-            for slot, sentence in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                slot, sentence = np.array(slot, dtype=np.int32), np.array(sentence, dtype=np.int32)
-                keep = np.isin(slot, held.value)
-                bags.append((slot[keep], sentence[keep]))
-            yield _bag_rows(*batch.columns[:3], batch.column(3).to_pylist(), bags)
+            sizes = pc.list_value_length(batch.column(4)).to_numpy(zero_copy_only=False)
+            slots, sentences = (pc.list_flatten(batch.column(k)).to_numpy(zero_copy_only=False) for k in (4, 5))
+            keep = known[np.minimum(np.searchsorted(known, slots), len(known) - 1)] == slots if len(known) else np.zeros(len(slots), dtype=bool)
+            left = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
+            yield _bag_rows(*batch.columns[:4], left, slots[keep], sentences[keep])
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags, every, y = [], [], []

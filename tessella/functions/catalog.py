@@ -241,3 +241,8 @@ def flattened(df: DataFrame, keys: Iterable[str], columns: Iterable[str]) -> Dat
     """Long form: the keys, ``var`` and ``value``; null (not allocated) values go."""
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("var"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns)))
     return df.select(*keys, pairs.alias("cell")).select(*keys, "cell.var", "cell.value").filter(F.col("value").isNotNull())
+
+
+def uid_intersection(a: DataFrame, b: DataFrame, uid: str) -> DataFrame:
+    """The uids that both lists have, once each; null is none."""
+    return a.select(uid).intersect(b.select(uid)).filter(F.col(uid).isNotNull())

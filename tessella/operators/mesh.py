@@ -231,3 +231,15 @@ def z_ordered(blocks: DataFrame, tree: str, axes: Sequence[str], level: str, dep
     at = [F.shiftleft(F.col(a), 0) * F.pow(F.lit(2.0), F.lit(depth) - F.col(level)).cast("long") for a in axes]
     key = morton(*at, bits=depth + 2)
     return blocks.withColumn("_m", key).withColumn(out, (F.row_number().over(Window.orderBy(tree, "_m")) - 1).cast("long")).drop("_m")
+
+
+def total_cells(blocks: Column, cells: Sequence[int]) -> Column:
+    """Cells of a number of blocks of ``cells`` along each axis."""
+    return blocks * math.prod(cells)
+
+
+def neighbour_tree(level: Column, lx: Sequence[Column]) -> Column:
+    """Which of the 3^d trees around a tree, itself in the middle, holds a block's address: base-3 digits below, inside or beyond, first axis first."""
+    beyond = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(level, F.lit(0)).cast("int"))
+    digits = [F.when(x < 0, 0).when(x >= beyond, 2).otherwise(1) for x in lx]
+    return sum((d * 3**k for k, d in enumerate(digits)), F.lit(0)).cast("int")

@@ -106,3 +106,8 @@ def new_costs(lines: DataFrame, cost: DataFrame) -> DataFrame:
 def running_cost(old: Column, measured: Column, interval: int) -> Column:
     """Exponential mean of a block's measured cost."""
     return old * ((interval - 1) / interval) + measured / interval
+
+
+def derefinement_order(candidates: DataFrame, level: str, gid: str) -> DataFrame:
+    """Candidates by level, the finest first, as a parent can go only after its daughters went; by ``gid`` within a level."""
+    return candidates.orderBy(F.desc(level), gid)

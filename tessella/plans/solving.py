@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators import integrators, solvers
+from tessella.functions import catalog
+from tessella.operators import integrators, mesh, solvers
 from tessella.operators.elements import difference, face_coefficients, measure, position, variable_mat_vec
 from tessella.operators.refine import running_cost
 from tessella.plans.meshes import GRID, NX, grid
@@ -172,3 +173,25 @@ def static_region(spark, sf_dir):
 @register("running_costs", "SELECT p_partkey, round(p_retailprice * 9 / 10.0 + p_size / 10.0, 8) AS cost FROM part")
 def running_costs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(running_cost(F.col("p_retailprice"), F.col("p_size"), 10), 8).alias("cost"))
+
+
+@register("uid_intersection", "SELECT l_partkey AS uid FROM lineitem WHERE l_quantity > 40 INTERSECT SELECT l_partkey FROM lineitem WHERE l_discount > 0.05")
+def uid_intersection(spark, sf_dir):
+    lines, uid = table(spark, sf_dir, "lineitem"), F.col("l_partkey").alias("uid")
+    return catalog.uid_intersection(lines.filter("l_quantity > 40").select(uid), lines.filter("l_discount > 0.05").select(uid), "uid")
+
+
+@register("total_cells", "SELECT o_orderpriority, count(*) * 16 * 16 * 8 AS cells FROM orders GROUP BY 1")
+def total_cells(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(mesh.total_cells(F.count("*"), (16, 16, 8)).alias("cells"))
+
+
+_DIGIT = "CASE WHEN {x} < 0 THEN 0 WHEN {x} >= (1 << (p_size % 5)::INT) THEN 2 ELSE 1 END"
+
+
+@register("neighbour_tree", f"""WITH p AS (SELECT p_partkey, p_size, p_partkey % 24 - 4 AS x, p_partkey // 24 % 24 - 4 AS y, p_partkey // 576 % 24 - 4 AS z FROM part)
+SELECT p_partkey, ({' + '.join(f'{3**k} * ({_DIGIT.format(x=x)})' for k, x in enumerate('xyz'))})::INT AS tree FROM p""")
+def neighbour_tree(spark, sf_dir):
+    k = F.col("p_partkey")
+    at = [k % 24 - 4, F.floor(k / 24) % 24 - 4, F.floor(k / 576) % 24 - 4]
+    return table(spark, sf_dir, "part").select("p_partkey", mesh.neighbour_tree(F.col("p_size") % 5, at).alias("tree"))

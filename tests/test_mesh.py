@@ -140,3 +140,10 @@ def test_neighbours_of_the_frame_are_the_trees(spark):
     got = {(r.gid, r.nb_gid) for r in mesh.neighbour_blocks(blocks, ["lx1", "lx2"]).collect()}
     touching = {(ids[a], ids[b]) for a, b in itertools.permutations(tree.leaves, 2) if a.is_neighbour(b)}
     assert got == want == touching
+
+
+def test_order_of_candidates(spark):
+    from tessella.operators import refine
+
+    rows = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3)], "gid int, level int")
+    assert [r.gid for r in refine.derefinement_order(rows, "level", "gid").collect()] == [2, 4, 1, 3]

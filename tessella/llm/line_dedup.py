@@ -42,11 +42,12 @@ def _points(line: Column) -> Column:
 
 
 def _places(points: Column) -> Column:
-    return F.sequence(F.lit(0), F.greatest((F.length(points) / 2).cast("int") - SHINGLE, F.lit(0)))
+    """The first byte of each shingle, from 1."""
+    return F.sequence(F.lit(1), F.greatest(F.length(points) - 2 * SHINGLE + 1, F.lit(1)), F.lit(2))
 
 
 def _shingle(points: Column, place: Column) -> Column:
-    return F.xxhash64(F.substring(points, 2 * place + 1, F.lit(2 * SHINGLE)))
+    return F.xxhash64(F.substring(points, place, F.lit(2 * SHINGLE)))
 
 
 def shingle_set(line: Column) -> Column:
@@ -73,12 +74,14 @@ def _signatures(lines: DataFrame) -> DataFrame:
     # nothing changes, and lines of all lengths are comparable.
     zeros = F.greatest(F.floor(F.log2(F.length("points") / (2 * KEPT))), F.lit(0)).cast("int")
     rows = own.select("h", "h2", "points", (63 - zeros).alias("_bits"), F.explode(_places(F.col("points"))).alias("place"))
-    rows = rows.select("h", "h2", "place", "_bits", F.shiftrightunsigned(_shingle(F.col("points"), F.col("place")), 1).alias("x"))
-    rows = rows.filter((F.call_function("shiftright", F.col("x"), F.col("_bits")) == 0) | (F.col("place") == 0))
+    # always true, but not to the optimizer, which would hash once in the filter and again for what it lets through
+    once = F.monotonically_increasing_id() >= 0
+    rows = rows.select("h", "h2", "place", "_bits", F.when(once, F.shiftrightunsigned(_shingle(F.col("points"), F.col("place")), 1)).alias("x"))
+    rows = rows.filter((F.call_function("shiftright", F.col("x"), F.col("_bits")) == 0) | (F.col("place") == 1))
     slot = [F.min(F.when(F.col("x") % SLOTS == k, F.col("x"))).alias(f"s{k}") for k in range(SLOTS)]
-    kinds = rows.groupBy("h", "h2").agg(F.sum((F.col("place") == 0).cast("long")).alias("many"), F.max("place").alias("last"), *slot)
+    kinds = rows.groupBy("h", "h2").agg(F.sum((F.col("place") == 1).cast("long")).alias("many"), F.max("place").alias("last"), *slot)
     slots = [f"s{k}" for k in range(SLOTS)]
-    return kinds.select("h", "h2", "many", F.when(F.col("last") < FEW, F.array_min(F.array(*slots))).alias("least"), F.array(*slots).alias("slots"))
+    return kinds.select("h", "h2", "many", F.when(F.col("last") < 2 * FEW, F.array_min(F.array(*slots))).alias("least"), F.array(*slots).alias("slots"))
 
 
 def _bands(slots: Column, least: Column) -> Column:
@@ -186,11 +189,15 @@ def duplicate_lines(docs: DataFrame, key: str, similarity: float = SIMILARITY) -
     links = hubs.select("a", F.col("m").alias("b")).union(hubs.select(F.explode("bs").alias("a"), F.col("m").alias("b")).filter("a > b").distinct())
     groups = written(components(links), "line-groups")
     near = _near(_across(lists, groups, texts, similarity), texts, similarity)
-    groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(near))
+    # What these link is whole components: their roots alone meet again.
+    for end in ("a", "b"):
+        near = near.join(groups.select(F.col("node").alias(end), F.col("root").alias("_root")), end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+    tops = components(near).select(F.col("node").alias("root"), F.col("root").alias("top"))
 
     # One line of each component stays: the first of all its kinds' lines.
-    kind = kinds.join(groups, kinds.id == groups.node, "left").filter(F.col("root").isNotNull() | (F.col("many") > 1))
-    kind = written(kind.select(F.col("h").alias("_h"), F.col("h2").alias("_h2"), F.coalesce("root", "id").alias("root")), "line-repeated")
+    kind = kinds.join(groups, kinds.id == groups.node, "left").withColumns({"linked": F.col("root").isNotNull(), "root": F.coalesce("root", "id")})
+    kind = kind.join(tops, "root", "left").filter(F.col("linked") | F.col("top").isNotNull() | (F.col("many") > 1))
+    kind = written(kind.select(F.col("h").alias("_h"), F.col("h2").alias("_h2"), F.coalesce("top", "root").alias("root")), "line-repeated")
     slim = lines.select("row", "doc_id", "place", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
     slim = slim.join(_small(kind, 64), (F.col("h") == F.col("_h")) & (F.col("h2") == F.col("_h2")))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "place")

@@ -46,8 +46,8 @@ def leapfrog(swarm: DataFrame, dt: float, axes: Sequence[tuple[str, str, Column]
 
 
 def periodic(x: Column, lo: float, hi: float) -> Column:
-    """A position wrapped into [lo, hi)."""
-    return F.when(x < lo, x + (hi - lo)).when(x >= hi, x - (hi - lo)).otherwise(x)
+    """A position wrapped into [lo, hi), however far out it is."""
+    return F.when((x < lo) | (x >= hi), x - (hi - lo) * F.floor((x - lo) / (hi - lo))).otherwise(x)
 
 
 def inside(*axes: tuple[Column, float, float]) -> Column:

@@ -6,10 +6,12 @@ equal lines (by two hashes), its MinHash signature: the smallest hash in each of
 permutation). Two slots are a band; lines at the threshold share one with a probability of about 0.98, nearer ones almost
 surely. Lines of up to FEW shingles, whose slots are mostly empty, are banded by their smallest hash as well.
 
-In a band's bucket each line is paired with the first one; of what links, components are formed. Buckets that still hold
-more than one then give all pairs across components, by tiles of sizes and chunks, so that no two lines of a bucket go
-without a look. Pairs with the first that agree in enough slots, and others whose bitmaps leave room, are verified by
-exact Jaccard similarity of the whole sets. Of each component only the first line, by document and place, stays.
+In a band's bucket each line is paired with the first one; of what links, components are formed. In long buckets that
+still hold more than one, lines outside the largest component meet one of its lines, another in each turn, so that one
+group's components grow together for a pair a line. Buckets that even then hold more than one give all pairs across
+components, by tiles of sizes and chunks, so that no two lines of a bucket go without a look. Pairs of the first two
+kinds that agree in enough slots, and others whose bitmaps leave room, are verified by exact Jaccard similarity of the
+whole sets. Of each component only the first line, by document and place, stays.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ FEW = 12
 WORDS = 16
 #: Rows of a bucket, about, that meet as many others in a tile.
 CHUNK = 256
+#: Lines of a bucket from which on the largest component's lines are met before the tiles, and turns of that.
+LONG, TURNS = 32, 4
 #: Bytes of a list of documents' lines up to which it is broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -124,17 +128,57 @@ def _near(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return written(sets.filter(enough).select("a", "b"), "line-near")
 
 
+def _sketched(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The pairs (a, b) that agree in enough slots."""
+    x, y = kinds.select("id", "slots").alias("x"), kinds.select("id", "slots").alias("y")
+    both = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
+    return written(both.filter(_alike()).select("a", "b"), "line-pairs")
+
+
+def _open(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """``band``, ``id``, ``many`` and ``root`` of the rows of ``lists`` whose band's lines are of more than one component."""
+    rooted = lists.join(groups, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = written(rooted.select("band", "id", "many", "root"), "line-rooted")
+    still = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+    return written(rooted.join(still, "band"), "line-rooted")
+
+
+def _merged(groups: DataFrame, near: DataFrame) -> DataFrame:
+    """``groups`` (node, root) with the links ``near`` (a, b) of their nodes or others."""
+    for end in ("a", "b"):
+        near = near.join(groups.select(F.col("node").alias(end), F.col("root").alias("_root")), end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+    tops = written(components(near), "line-tops")
+    moved = groups.join(tops.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root", "left")
+    alone = tops.join(groups.select("node"), "node", "left_anti")
+    return written(moved.select("node", F.coalesce("_top", "root").alias("root")).union(alone.select("node", "root")), "line-groups")
+
+
+def _met(lists: DataFrame, groups: DataFrame, kinds: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``groups`` (node, root), grown by what links where, in long open buckets, the other lines meet one of the largest component's.
+
+    Each turn makes a pair for a row of ``lists`` at most, with another line of that component, whatever the bucket's length.
+    """
+    lists = lists.filter(F.col("many") > LONG)
+    for turn in range(TURNS):
+        sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
+        rows = _open(lists, groups).join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+        heads = rows.groupBy("band").agg(F.max(F.struct("size", "root", F.xxhash64("id", F.lit(turn)).alias("draw"), "id")).alias("head"))
+        met = rows.join(heads, "band").filter(F.col("root") != F.col("head.root"))
+        near = _near(_sketched(met.select(F.greatest("id", "head.id").alias("a"), F.least("id", "head.id").alias("b")).distinct(), kinds), texts, similarity)
+        if near.isEmpty():
+            break
+        groups = _merged(groups, near)
+    return groups
+
+
 def _across(lists: DataFrame, groups: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) across components whose sizes and bitmaps leave room, in the buckets of ``lists`` (band, id, many) that pairs with the first don't exhaust.
 
     A tile holds what a chunk of a bucket's lines of one class of sizes meets in another chunk, of the same class or the
     one below: lines two classes apart are too different in size.
     """
-    rooted = lists.filter("many > 2").join(groups, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id"))
-    rooted = written(rooted.select("band", "id", "many", "root"), "line-rooted")
-    still = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+    rooted = _open(lists.filter("many > 2"), groups)
     chunks = F.ceil(F.col("many") / CHUNK).cast("int")
-    rooted = written(rooted.join(still, "band"), "line-rooted")
     sets = rooted.select("id").distinct().join(texts, "id").select("id", _once(shingle_set(F.col("line")), "s"))
     rows = rooted.join(_maps(sets), "id").select(
         "band", "id", "root", "n", "map", F.floor(-F.log(F.col("n")) / F.log(F.lit(similarity))).cast("int").alias("class"),
@@ -172,8 +216,7 @@ def duplicate_lines(docs: DataFrame, key: str, similarity: float = SIMILARITY) -
     lists = written(banded.join(firsts.drop("last"), "band"), "line-lists")
 
     pairs = lists.filter("id > first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    both = pairs.join(kinds.select("id", "slots").alias("x"), F.col("a") == F.col("x.id")).join(kinds.select("id", "slots").alias("y"), F.col("b") == F.col("y.id"))
-    pairs = written(both.filter(_alike()).select("a", "b"), "line-pairs")
+    pairs = _sketched(pairs, kinds)
 
     # The texts of lines that are verified or whose bucket holds more than two.
     ids = lists.filter("many > 2").select("id").union(pairs.select("a")).union(pairs.select("b")).distinct()
@@ -188,16 +231,13 @@ def duplicate_lines(docs: DataFrame, key: str, similarity: float = SIMILARITY) -
     hubs = written(hubs, "line-hubs")
     links = hubs.select("a", F.col("m").alias("b")).union(hubs.select(F.explode("bs").alias("a"), F.col("m").alias("b")).filter("a > b").distinct())
     groups = written(components(links), "line-groups")
-    near = _near(_across(lists, groups, texts, similarity), texts, similarity)
-    # What these link is whole components: their roots alone meet again.
-    for end in ("a", "b"):
-        near = near.join(groups.select(F.col("node").alias(end), F.col("root").alias("_root")), end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
-    tops = components(near).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    groups = _met(lists, groups, kinds, texts, similarity)
+    groups = _merged(groups, _near(_across(lists, groups, texts, similarity), texts, similarity))
 
     # One line of each component stays: the first of all its kinds' lines.
     kind = kinds.join(groups, kinds.id == groups.node, "left").withColumns({"linked": F.col("root").isNotNull(), "root": F.coalesce("root", "id")})
-    kind = kind.join(tops, "root", "left").filter(F.col("linked") | F.col("top").isNotNull() | (F.col("many") > 1))
-    kind = written(kind.select(F.col("h").alias("_h"), F.col("h2").alias("_h2"), F.coalesce("top", "root").alias("root")), "line-repeated")
+    kind = kind.filter(F.col("linked") | (F.col("many") > 1))
+    kind = written(kind.select(F.col("h").alias("_h"), F.col("h2").alias("_h2"), "root"), "line-repeated")
     slim = lines.select("row", "doc_id", "place", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
     slim = slim.join(_small(kind, 64), (F.col("h") == F.col("_h")) & (F.col("h2") == F.col("_h2")))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "place")

@@ -161,13 +161,15 @@ def _met(lists: DataFrame, groups: DataFrame, kinds: DataFrame, texts: DataFrame
     lists = lists.filter(F.col("many") > LONG)
     for turn in range(TURNS):
         sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-        rows = _open(lists, groups).join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+        lists = _open(lists, groups).select("band", "id", "many", "root")
+        rows = lists.join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
         heads = rows.groupBy("band").agg(F.max(F.struct("size", "root", F.xxhash64("id", F.lit(turn)).alias("draw"), "id")).alias("head"))
         met = rows.join(heads, "band").filter(F.col("root") != F.col("head.root"))
         near = _near(_sketched(met.select(F.greatest("id", "head.id").alias("a"), F.least("id", "head.id").alias("b")).distinct(), kinds), texts, similarity)
         if near.isEmpty():
             break
         groups = _merged(groups, near)
+        lists = lists.drop("root")
     return groups
 
 

@@ -37,6 +37,8 @@ WORDS = 16
 CHUNK = 256
 #: Lines of a bucket from which on the largest component's lines are met before the tiles, and turns of that.
 LONG, TURNS = 32, 4
+#: Lines, of all kinds, for each pair that such buckets may give the tiles without a turn.
+FREE = 16
 #: Bytes of a list of documents' lines up to which it is broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -157,11 +159,14 @@ def _met(lists: DataFrame, groups: DataFrame, kinds: DataFrame, texts: DataFrame
     """``groups`` (node, root), grown by what links where, in long open buckets, the other lines meet one of the largest component's.
 
     Each turn makes a pair for a row of ``lists`` at most, with another line of that component, whatever the bucket's length.
+    Where all pairs of those buckets are few beside the lines, the tiles take them without a turn.
     """
-    lists = lists.filter(F.col("many") > LONG)
+    lists, free = lists.filter(F.col("many") > LONG), kinds.count() // FREE
     for turn in range(TURNS):
-        sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
         lists = _open(lists, groups).select("band", "id", "many", "root")
+        if (lists.agg(F.sum("many")).first()[0] or 0) <= free:
+            break
+        sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
         rows = lists.join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
         heads = rows.groupBy("band").agg(F.max(F.struct("size", "root", F.xxhash64("id", F.lit(turn)).alias("draw"), "id")).alias("head"))
         met = rows.join(heads, "band").filter(F.col("root") != F.col("head.root"))

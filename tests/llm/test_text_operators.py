@@ -45,6 +45,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_lines_without_long_buckets_take_no_turns(spark, monkeypatch):
+    calls, sketched = [], line_dedup._sketched
+    monkeypatch.setattr(line_dedup, "_sketched", lambda *a: calls.append(1) or sketched(*a))
+    base = " ".join(f"word{i}" for i in range(40))
+    texts = [base, base + " end", "another line that is quite unlike all of the others here", base.replace("word39", "last")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == {0: base, 1: "", 2: texts[2], 3: ""}
+    assert len(calls) == 1
+
+
 # ---- fingerprints --------------------------------------------------------------------------------------------------
 
 M64 = (1 << 64) - 1

@@ -9,8 +9,7 @@ surely. Lines of up to FEW shingles, whose slots are mostly empty, are banded by
 In a band's bucket each line is paired with the first one; of what links, components are formed. In long buckets that
 still hold more than one, lines outside the largest component meet one of its lines, another in each turn, so that one
 group's components grow together for a pair a line. Buckets that even then hold more than one give all pairs across
-components, by tiles of sizes and chunks, so that no two lines of a bucket go without a look; a pair that shares
-several buckets comes from the first of them. Pairs with a first line
+components, by tiles of sizes and chunks, so that no two lines of a bucket go without a look. Pairs with a first line
 that agree in enough slots, and all others, are verified if sizes and bitmaps leave room: by exact Jaccard similarity
 of the whole sets. Of each component only the first line, by document and place, stays.
 """
@@ -36,6 +35,8 @@ KEPT = 48
 FEW = 12
 #: Words of the bitmaps that are compared in tiles, a power of two.
 WORDS = 16
+#: Shingles that a row of a line's whole set holds before the set is gathered.
+STEP = 32
 #: Rows of a bucket, about, that meet as many others in a tile.
 CHUNK = 256
 #: Lines of a bucket from which on the largest component's lines are met before the tiles, and turns of that.
@@ -77,11 +78,34 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def _lines(text: Column) -> Column:
+    """How many lines ``lines_of`` gives, counted without making them."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+
+
+def _blank(line: Column) -> Column:
+    """Whether a line holds nothing but blanks and U+0009 to U+000D."""
+    return F.ltrim(line, F.lit("\t\n\x0b\f\r ")) == ""
+
+
 def _once(value: Column, name: str) -> Column:
     """``value`` as a column that is computed once, in generated code: neither filters nor projects are moved into it."""
     return F.explode(F.array(value)).alias(name)
 
 
+def _sets(texts: DataFrame) -> DataFrame:
+    """``id``, ``s``: hashes of the shingles of each of ``texts`` (id, line), which may repeat.
+
+    ``_shingles`` without a lambda: rows of STEP places each are hashed in generated code and gathered where the line is.
+    """
+    own = texts.repartition("id").select("id", _once(_points(F.col("line")), "points"))
+    last = F.greatest(F.length("points") - 2 * SHINGLE + 1, F.lit(1))
+    rows = own.select("id", "points", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(2 * STEP))).alias("place"))
+    some = F.array(*(_shingle(F.col("points"), F.col("place") + 2 * k) for k in range(STEP)))
+    there = F.least(F.shiftright(F.col("last") - F.col("place"), 1) + 1, F.lit(STEP))
+    return rows.select("id", F.slice(some, F.lit(1), there).alias("s")).groupBy("id").agg(F.flatten(F.collect_list("s")).alias("s"))
+
+
 def _signatures(lines: DataFrame) -> DataFrame:
     """``h``, ``h2``, ``many`` (lines), ``least`` (shingle, of lines of few) and ``slots`` of each kind of equal ``lines`` (line).
 
@@ -114,8 +138,10 @@ def _bands(slots: Column, least: Column) -> Column:
 def _maps(sets: DataFrame) -> DataFrame:
     """``id``, ``n``, ``map`` of ``sets`` (id, s), whose hashes may repeat: bitmaps with the parity of the distinct ones in each of 64 * WORDS buckets."""
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("x", 8).bitwiseAND(63).cast("int"))
-    words = [F.bit_xor(F.when(F.col("x").bitwiseAND(WORDS - 1) == w, bit)).alias(f"w{w}") for w in range(WORDS)]
-    rows = sets.select("id", F.explode(F.array_distinct("s")).alias("x")).groupBy("id").agg(F.count("*").alias("n"), *words)
+    rows = sets.select("id", F.explode(F.array_distinct("s")).alias("x"))
+    words = rows.groupBy("id", F.col("x").bitwiseAND(WORDS - 1).alias("w")).agg(F.count("*").alias("n"), F.bit_xor(bit).alias("bits"))
+    map_ = [F.max(F.when(F.col("w") == w, F.col("bits"))).alias(f"w{w}") for w in range(WORDS)]
+    rows = words.groupBy("id").agg(F.sum("n").alias("n"), *map_)
     return rows.select("id", "n", F.array(*(F.coalesce(f"w{w}", F.lit(0).cast("long")) for w in range(WORDS))).alias("map"))
 
 
@@ -136,15 +162,16 @@ def _alike() -> Column:
 
 
 def _near(pairs: DataFrame, maps: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity is enough; for those that sizes and bitmaps leave, shingles are made again from the lines, which are shorter."""
+    """The pairs (a, b) whose exact Jaccard similarity is enough; for those that sizes and bitmaps leave, shingles are made again, once a line and not for each of its pairs."""
     x, y = maps.alias("x"), maps.alias("y")
     room = pairs.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & _may(similarity)).select("a", "b", (F.col("x.n") + F.col("y.n")).alias("n"))
-    side = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"))
+    room = written(room, "line-room")
+    ids = room.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = written(_sets(texts.join(ids, "id")), "line-sets")
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}"))
     both = room.join(side("a"), "a").join(side("b"), "b")
-    # computed once, and as plain arrays of longs, the set operation runs in generated code
-    sets = both.select("a", "b", "n", _once(F.struct(_shingles(F.col("line_a")).alias("a"), _shingles(F.col("line_b")).alias("b")), "s"))
-    enough = F.size(F.array_intersect("s.a", "s.b")) * (1 + similarity) >= similarity * F.col("n")
-    return written(sets.filter(enough).select("a", "b"), "line-near")
+    enough = F.size(F.array_intersect("s_a", "s_b")) * (1 + similarity) >= similarity * F.col("n")
+    return written(both.filter(enough).select("a", "b"), "line-near")
 
 
 def _sketched(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -240,10 +267,10 @@ def duplicate_lines(docs: DataFrame, key: str, similarity: float = SIMILARITY) -
     last), then key, then place. Long lines are taken whole.
     """
     lines = docs.select(F.col(key).alias("row"), "doc_id", F.posexplode(lines_of(F.col("text"))).alias("place", "line"))
-    lines = lines.filter(F.col("line").rlike(r"\S"))
+    lines = lines.filter(~_blank(F.col("line")))
     # A row for each kind of equal lines, numbered as written, so that numbers stay.
     kinds = written(_signatures(lines).withColumn("id", F.monotonically_increasing_id()), "line-kinds")
-    banded = kinds.select("id", F.explode(_bands(F.col("slots"), F.col("least"))).alias("band")).filter("band IS NOT NULL")
+    banded = kinds.select("id", F.explode(_bands(F.col("slots"), F.col("least"))).alias("band")).filter("band IS NOT NULL").repartition("band")
     firsts = banded.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("many")).filter("first < last")
     lists = written(banded.join(firsts.drop("last").hint("shuffle_hash"), "band"), "line-lists")
 
@@ -257,7 +284,7 @@ def duplicate_lines(docs: DataFrame, key: str, similarity: float = SIMILARITY) -
     hashed = lines.select("line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
     texts = hashed.join(_small(wanted, 64), (F.col("h") == F.col("_h")) & (F.col("h2") == F.col("_h2"))).select("id", "line")
     texts = written(texts.dropDuplicates(["id"]), "line-texts")
-    maps = written(_maps(texts.select("id", _once(_shingles(F.col("line")), "s"))), "line-maps")
+    maps = written(_maps(_sets(texts)), "line-maps")
 
     near = _near(pairs, maps, texts, similarity)
     # Of a line's firsts, BANDS + 1 at most, the least speaks for the others: fewer links, the same components.
@@ -299,7 +326,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     lines = lines_of(F.col("text"))
     kept = let(lines, lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(drops)), lambda i: F.get(ls, i)), "\n"))
     text = F.when(F.col(drops).isNull(), F.col("text")).otherwise(kept)
-    counts = {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_dropped": F.coalesce(F.size(F.col(drops)), F.lit(0))}
+    counts = {"n_lines": _lines(F.col("text")), "n_dropped": F.coalesce(F.size(F.col(drops)), F.lit(0))}
     out = out.withColumns({c: F.when(F.col("text").isNull(), 0).otherwise(v).cast("int") for c, v in counts.items()}).withColumn("text", text)
     return out.select(*own, "n_lines", "n_dropped")
 

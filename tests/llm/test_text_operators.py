@@ -226,6 +226,23 @@ def test_a_pair_comes_from_one_of_its_buckets(spark, docs, monkeypatch):
     assert made and len(made) == len(set(made))
 
 
+def test_sets_are_made_once_for_each_line(spark, monkeypatch):
+    cut, sets = [], line_dedup._sets
+    monkeypatch.setattr(line_dedup, "_sets", lambda texts: cut.extend(r.id for r in texts.collect()) or sets(texts))
+    base = "".join(np.random.default_rng(4).choice(list("abcdefghijklmnopqrstuvwxyz"), 400))
+    lines = [base[:n] for n in (1, 11, 12, 13, *range(12 + 30, 12 + 35), 12 + 62, 12 + 63, 12 + 64, 300, 400)] + ["ab" * 60, "é🙂x" * 30]
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    signed = lambda x: struct.unpack("q", struct.pack("Q", xxhash.xxh64_intdigest(x, 42)))[0]
+    plain = [plain_shingles(x) for x in lines]
+    assert {r.id: set(r.s) for r in sets(texts).collect()} == {k: set(map(signed, x)) for k, x in enumerate(plain)}
+    maps = line_dedup._maps(sets(texts))
+    pairs = [(a, b) for a in range(len(lines)) for b in range(a)]
+    got = line_dedup._near(spark.createDataFrame(pairs, "a long, b long"), maps, texts, 0.75).collect()
+    want = {(a, b) for a, b in pairs if len(plain[a] & plain[b]) >= 0.75 * len(plain[a] | plain[b])}
+    assert {(r.a, r.b) for r in got} == want and len(want) > 10
+    assert len(cut) == len(set(cut))
+
+
 def test_shingles_with_repeats_and_of_all_lengths(spark):
     lines = ["ab" * 40, "x" * 70, *("Some Words, of a line that is cut"[:n] for n in range(1, 33))]
     df = spark.createDataFrame(list(enumerate(lines)), "id int, line string")
